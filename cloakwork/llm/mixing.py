@@ -34,18 +34,22 @@ MAX_FEATURES = 200
 #: Labelled documents that must hold a word, and its least z-score for some domain.
 MIN_DOCUMENTS = 8
 MIN_Z = 4.0
-MAX_STEPS, TOLERANCE = 25, 1e-5
+#: How many times likelier a word must be in some domain than outside: words of a language differ by less.
+MIN_RATIO = 8.0
+MAX_STEPS, TOLERANCE = 15, 1e-4
 
 
 def words_of(text: Column) -> Column:
-    """A text's distinct features: its words without punctuation, and the shapes of what stands around them."""
-    raw = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    plain = F.array_distinct(F.transform(raw, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))))
-    return F.filter(plain, lambda w: w != "")
+    """A text's distinct features: its words, and the shapes of its tokens (letters as w, capitals as W, marks as they are)."""
+    text = F.coalesce(text, F.lit(""))
+    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    shapes = F.split(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}{2,}", "\u2191"), r"[\p{L}\p{N}]+", "w"), r"[\x20\x09-\x0D]+")
+    shapes = F.transform(F.array_distinct(shapes), lambda x: F.concat(F.lit("shape "), F.substr(x, F.lit(1), F.lit(8))))
+    return F.filter(F.concat(F.array_distinct(words), F.array_distinct(shapes)), lambda w: w != "")
 
 
 def token_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -65,7 +69,17 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float]
         return {d: (0.0 if d == "good" else -50.0) for d in DOMAINS}, {}
     counted = known.select("domain", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS])
     counted = counted.filter(F.col("n") >= MIN_DOCUMENTS)
-    z = F.greatest(*[(F.col(d) - F.col("n") * (sizes.get(d, 0) / total)) / F.sqrt(F.col("n") * max(sizes.get(d, 0) / total * (1 - sizes.get(d, 0) / total), 1e-9)) for d in DOMAINS])
+    held = {d: n for d, n in sizes.items() if 0 < n < total}
+    if not held:
+        return {d: (math.log((sizes.get(d, 0) + 0.5) / (total + 0.5 * len(DOMAINS)))) for d in DOMAINS}, {}
+
+    def score(d: str) -> Column:
+        """The z-score of a word that the domain has MIN_RATIO times as often as the rest."""
+        share = held[d] / total
+        inside, outside = (F.col(d) + 0.5) / (held[d] + 1), (F.col("n") - F.col(d) + 0.5) / (total - held[d] + 1)
+        return F.when(inside >= MIN_RATIO * outside, (F.col(d) - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))).otherwise(0.0)
+
+    z = F.greatest(F.lit(0.0), *map(score, held))
     best = counted.withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(MAX_FEATURES).collect()
     absent, odds = {}, {r["word"]: {} for r in best}
     for d in DOMAINS:
@@ -130,7 +144,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     names = ["n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies"]
     docs = docs.drop(*[c for c in docs.columns if c in names])
     model = fit_classifier(docs, labels)
-    scored = posteriors(docs, model)
-    small = written(scored.select("n_tokens", *[f"p_{d}" for d in DOMAINS]), "memberships")
-    steps = fit_rates(small, targets)
+    scored = written(posteriors(docs, model), "memberships")  # the steps read its numbers only
+    steps = fit_rates(scored, targets)
     return scored.withColumn("rate", rate_after(steps)).withColumn("copies", F.round("rate").cast("long"))

@@ -44,6 +44,8 @@ COUNT_BITS = 44
 ID_BITS = 52
 #: Pairs up to this number are broadcast to the sets, 16 bytes each.
 BROADCAST_PAIRS = 500_000
+#: Parts that the copies of one text are dealt to.
+SALTS = 16
 _U = np.uint64
 
 
@@ -315,12 +317,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component_id): the smallest id that links reach, the row's own where there is none."""
     source = docs.select(F.col(id_column).cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc is not null")
     sizes = written(signatures(docs, id_column), "signatures")
-    classes = sizes.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"))
+    classes = sizes.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("rows"))
     sets = written(candidate_sets(source, classes.select(F.col("rep").alias("doc")).distinct()), "sets")
-    labels = components(similar_links(sets))
-    members = sizes.join(classes, ["n", "f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "doc"))
-    joined = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return joined.select(F.col("doc").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
+    labels = components(similar_links(sets)).withColumnRenamed("node", "rep")
+    # a class of many copies is dealt to SALTS tasks; classes of one row without links need no join
+    known = classes.join(labels, "rep", "left").filter("rows > 1 OR label IS NOT NULL")
+    known = known.select("n", "f1", "f2", F.coalesce("label", "rep").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    members = sizes.withColumn("salt", F.pmod(F.hash("doc"), F.lit(SALTS))).join(known, ["n", "f1", "f2", "salt"], "left")
+    return members.select(F.col("doc").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
