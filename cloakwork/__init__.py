@@ -1,0 +1 @@
+"""Personal data in text columns: found, masked and restored with DataFrame operations."""
