@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions import masks, text, validators
-from cloakwork.plans.catalog import BOUNDARY, DEFAULT_WINDOW, TYPES, Profile, TypeDef
+from cloakwork.plans.catalog import BOUNDARY, DEFAULT_WINDOW, TYPES, Pattern, Profile, TypeDef
 
 CANDIDATES = "array<struct<type:string,start:bigint,end:bigint,value:string,confidence:float,priority:int,weak:boolean>>"
 
@@ -44,38 +44,57 @@ def _with_group(pattern: str) -> str:
     return java(bare(head)) + "(" + java(bare(tail))
 
 
-def candidates_of(folded: Column, t: TypeDef, window: int = DEFAULT_WINDOW) -> Column:
-    """Candidates of one type in a folded text, in the order of its patterns."""
+def _cut_value(pattern: str):
+    """A match cut down to its group v, which ends the match in every pattern."""
+
+    def cut(s: Column) -> Column:
+        v = F.regexp_extract(s["value"], _with_group(pattern), 1)
+        return F.struct((s["start"] + F.length(s["value"]) - F.length(v)).alias("start"), s["end"].alias("end"), v.alias("value"))
+
+    return cut
+
+
+def _judge(folded: Column, t: TypeDef, p: Pattern, window: int):
+    """A match with its confidence, and whether checks and cue words accept it."""
     size = t.context.window or window
     before, after, suppress = map(_any, (t.context.before, t.context.after, t.context.suppress))
+    base = F.lit(p.confidence or t.confidence).cast("float")
+
+    def judged(s: Column) -> Column:
+        left, right = text.window_before(folded, s["start"], size), text.window_after(folded, s["end"], size)
+        matched = _matches(left, before) | _matches(right, after)
+        valid = validators.VALIDATORS[t.validator](s["value"]) if t.validator in validators.VALIDATORS else validators.digits_len(s["value"], *t.length) if t.validator == "digits_len" else F.lit(True)
+        boosted = F.least(base + F.lit(t.context.boost).cast("float"), F.lit(1.0).cast("float"))
+        lowered = F.greatest(base - F.lit(0.2).cast("float"), F.lit(0.5).cast("float"))
+        accepted = ~(_matches(left, suppress) | _matches(right, suppress)) & (valid | (F.lit(t.soft_validator) & matched))
+        if p.requires_context or t.context.required:
+            accepted &= matched
+        fields = {"type": F.lit(t.id), "start": s["start"], "end": s["end"], "value": s["value"], "confidence": F.when(matched & valid, boosted).when(matched, lowered).otherwise(base), "priority": F.lit(t.priority), "weak": F.lit(t.weak) & ~matched, "accepted": accepted}
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+    return judged
+
+
+def _free_of_digits(folded: Column):
+    """No digit stands right before or after the value."""
+
+    def free(s: Column) -> Column:
+        before = F.substr(folded, s["start"].cast("int"), F.when(s["start"] > 0, 1).otherwise(0))
+        return ~before.rlike("[0-9]") & ~F.substr(folded, (s["end"] + 1).cast("int"), F.lit(1)).rlike("[0-9]")
+
+    return free
+
+
+def candidates_of(folded: Column, t: TypeDef, window: int = DEFAULT_WINDOW) -> Column:
+    """Candidates of one type in a folded text, in the order of its patterns."""
     out = []
     for p in t.patterns:
         found = text.spans(folded, java(p.regex))
         if "(?P<v>" in p.regex:
-
-            def cut(s, p=p):
-                v = F.regexp_extract(s["value"], _with_group(p.regex), 1)
-                start = s["start"] + F.length(s["value"]) - F.length(v)  # v ends the match in every pattern
-                return F.struct(start.alias("start"), s["end"].alias("end"), v.alias("value"))
-
-            found = F.transform(found, cut)
+            found = F.transform(found, _cut_value(p.regex))
         if t.digit_boundary:
-            found = F.filter(found, lambda s: ~F.substr(folded, s["start"].cast("int"), F.when(s["start"] > 0, 1).otherwise(0)).rlike("[0-9]") & ~F.substr(folded, (s["end"] + 1).cast("int"), F.lit(1)).rlike("[0-9]"))
-
-        def judged(s, p=p):
-            left, right = text.window_before(folded, s["start"], size), text.window_after(folded, s["end"], size)
-            matched = _matches(left, before) | _matches(right, after)
-            valid = validators.VALIDATORS[t.validator](s["value"]) if t.validator in validators.VALIDATORS else validators.digits_len(s["value"], *t.length) if t.validator == "digits_len" else F.lit(True)
-            base = p.confidence or t.confidence
-            boosted = F.least(F.lit(base).cast("float") + F.lit(t.context.boost).cast("float"), F.lit(1.0).cast("float"))
-            lowered = F.greatest(F.lit(base).cast("float") - F.lit(0.2).cast("float"), F.lit(0.5).cast("float"))
-            confidence = F.when(matched & valid, boosted).when(matched, lowered).otherwise(F.lit(base).cast("float"))
-            accepted = ~(_matches(left, suppress) | _matches(right, suppress)) & (valid | (F.lit(t.soft_validator) & matched))
-            if p.requires_context or t.context.required:
-                accepted &= matched
-            return F.struct(F.lit(t.id).alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), confidence.alias("confidence"), F.lit(t.priority).alias("priority"), (F.lit(t.weak) & ~matched).alias("weak"), accepted.alias("accepted"))
-
-        kept = F.filter(F.transform(found, judged), lambda c: c["accepted"])
+            found = F.filter(found, _free_of_digits(folded))
+        kept = F.filter(F.transform(found, _judge(folded, t, p, window)), lambda c: c["accepted"])
         out.append(F.transform(kept, lambda c: F.struct(*[c[n].alias(n) for n in ("type", "start", "end", "value", "confidence", "priority", "weak")])))
     return F.concat(*out).cast(CANDIDATES)
 

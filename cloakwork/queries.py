@@ -149,7 +149,7 @@ def mask_partial(spark, sf):
     return _numbers(spark, sf).select("o_orderkey", masks.partial(value, mask_chars="digits").alias("masked"))
 
 
-@query("SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(p_name, ' '), w -> w <> ''), w -> upper(substr(w, 1, 1)) || '.'), ' ') AS masked FROM part")
+@query("SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(p_name, ' '), lambda w: w <> ''), lambda w: upper(substr(w, 1, 1)) || '.'), ' ') AS masked FROM part")
 def mask_initials(spark, sf):
     return table(spark, sf, "part").select("p_partkey", masks.initials(F.col("p_name")).alias("masked"))
 
@@ -203,7 +203,7 @@ def phone_spans(spark, sf):
     return _spans(pattern_spans.detect(table(spark, sf, "documents").select("doc_id", "text"), ("PHONE",)))
 
 
-_LUHN = "list_sum(list_transform(range(1, length(val) + 1), i -> CASE WHEN (length(val) - i) % 2 = 1 THEN CASE WHEN CAST(substr(val, CAST(i AS INT), 1) AS INT) * 2 > 9 THEN CAST(substr(val, CAST(i AS INT), 1) AS INT) * 2 - 9 ELSE CAST(substr(val, CAST(i AS INT), 1) AS INT) * 2 END ELSE CAST(substr(val, CAST(i AS INT), 1) AS INT) END))"
+_LUHN = "list_sum(list_transform(range(1, length(val) + 1), lambda i: CASE WHEN (length(val) - i) % 2 = 1 THEN CASE WHEN CAST(substr(val, CAST(i AS INT), 1) AS INT) * 2 > 9 THEN CAST(substr(val, CAST(i AS INT), 1) AS INT) * 2 - 9 ELSE CAST(substr(val, CAST(i AS INT), 1) AS INT) * 2 END ELSE CAST(substr(val, CAST(i AS INT), 1) AS INT) END))"
 
 
 @query("WITH " + _FOLDED + ", " + _OFFSETS.format(name="c", kind="'CARD_NUMBER'", re=_CARD_RE) + f" SELECT doc_id, kind AS type, CAST(s AS BIGINT) AS start, CAST(s + length(val) AS BIGINT) AS stop, val AS value FROM c_at JOIN f USING (doc_id) WHERE val IS NOT NULL AND ({_LUHN} % 10 = 0 OR regexp_matches(substr(t, CAST(greatest(1, s - 47) AS INT), CAST(least(48, s) AS INT)), 'карт|card|номер|pan|visa|mastercard|мир'))")
