@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, lm_score, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, token_count
+from . import chat_format, decontaminate, html_extract, lm_score, mixing, ngram_join, quality_rules, secret_scan, sql, substring_dedup, token_count
 from .cluster import load
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -79,4 +79,4 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_mixing, op3_decontaminate, op4_token_count, op5_ngram_join, op6_secret_scan, op7_chat_format, op8_quality_rules, op9_lm_score, op10_html_extract)}
 
-SQL: dict[str, str] = {}
+SQL = {"op1_substring_dedup": sql.SUBSTRING_DEDUP, "op3_decontaminate": sql.DECONTAMINATE, "op5_ngram_join": sql.NGRAM_JOIN, "op7_chat_format": sql.CHAT_FORMAT}
