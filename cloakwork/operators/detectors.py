@@ -191,6 +191,7 @@ NO_CARD_WORDS = frozenset(
     "visa mastercard maestro mir classic gold platinum black edition online bank card credit debit unionpay american express world elite signature infinite business premium standard electron virtual digital apple google pay samsung sber tinkoff alfa vtb "
     "raiffeisen rosbank otkritie sovcombank gazprombank cvv cvc pin exp valid thru month year id code no number the and for with from llc ltd inc ooo pao ao ip".split()
 )
+_CYRILLIC_LETTER = re.compile("[а-яёіїєґў]")
 LONE_CUE = re.compile(r"(?:г-н|г-жа|господин|госпожа|фамилия|гражданин|гражданка|клиент|заявитель|сотрудник|заемщик|заёмщик)\s*[:\-]?\s*$")
 
 
@@ -316,6 +317,8 @@ class PersonDetector:
         return False
 
     def find(self, text: Text, places: list) -> Iterator[Candidate]:
+        if not _CYRILLIC_LETTER.search(text.folded):
+            return
         folded, words = text.folded, text.words
         roles = [self.role(words, i, folded) for i in range(len(words))]
         strong: list[tuple[int, int]] = []  # folded spans

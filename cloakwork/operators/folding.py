@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from dataclasses import dataclass
 from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 
@@ -18,8 +18,12 @@ _LATIN, _DIGIT = re.compile("[a-z]"), re.compile("[0-9]")
 CYRILLIC, LATIN, DIGITS, MIXED = "cyrillic", "latin", "digits", "mixed"
 
 
-@dataclass(frozen=True)
-class Word:
+def _kind(t: str) -> str:
+    cyrillic, latin, digit = (r.search(t) is not None for r in (_CYRILLIC, _LATIN, _DIGIT))
+    return {(True, False, False): CYRILLIC, (False, True, False): LATIN, (False, False, True): DIGITS}.get((cyrillic, latin, digit), MIXED)
+
+
+class Word(NamedTuple):
     """A word of the folded text with the case it had."""
 
     start: int
@@ -70,14 +74,16 @@ class Text:
 
     @cached_property
     def words(self) -> list[Word]:
-        out = []
+        out, original = [], self.original
         for m in _WORD.finditer(self.folded):
-            t = m[0]
-            cyrillic, latin, digit = (bool(r.search(t)) for r in (_CYRILLIC, _LATIN, _DIGIT))
-            kind = {(True, False, False): CYRILLIC, (False, True, False): LATIN, (False, False, True): DIGITS}.get((cyrillic, latin, digit), MIXED)
-            a, b = self.span(m.start(), m.end())
-            letters = [c for c in self.original[a:b] if c.isalpha()]
-            out.append(Word(m.start(), m.end(), t, kind, bool(letters) and letters[0].isupper(), len(letters) >= 2 and all(c.isupper() for c in letters)))
+            t, (a, b) = m[0], m.span()
+            shown = original[a:b] if self.starts is None else original[slice(*self.span(a, b))]
+            if t.isascii() and t.isalpha():
+                kind, capital = LATIN, shown[0].isupper()
+            else:
+                kind = _kind(t)
+                capital = next((c.isupper() for c in shown if c.isalpha()), False)
+            out.append(Word(a, b, t, kind, capital, capital and shown.isupper() and sum(map(str.isalpha, shown)) >= 2))
         return out
 
     @cached_property
