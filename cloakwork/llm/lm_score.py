@@ -1,13 +1,16 @@
 """Language-model scores by prediction by partial matching.
 
-A trie of byte contexts holds, for each context of up to two bytes, how often each byte
+A trie of byte contexts holds, for each context of up to `order` bytes, how often each byte
 followed it. The longest context predicts first; a byte it has not seen costs an
 escape (method C: as many escapes as distinct followers), and the shorter context
 then predicts among the bytes that the longer one has not (symbol exclusion). A
 document's score is the sum of log10 probabilities over its bytes: its code length
-with the sign turned. The pretrained model is learnt from all training documents;
-its trie has at most 2**24 counts whatever the corpus, the bound on what is
-collected and broadcast. `adaptive_score` is the model that learns a text as it reads it.
+with the sign turned. The pretrained model is learnt from all training documents.
+Its counts of contexts of up to two bytes are at most 2**24 whatever the corpus, the bound on what is
+collected and broadcast. Those of longer contexts grow with the corpus and stay distributed: blocks
+of documents send their distinct grams (context and byte) to buckets of contexts' last
+three bytes, which hold all that the longer contexts need, and get each gram's probability back.
+`adaptive_score` is the model that learns a text as it reads it.
 
 Beside it stands an additive unigram score over words, whose counts grow with the
 corpus and stay distributed: blocks of documents send their distinct words to
@@ -36,7 +39,13 @@ from .cluster import block_count, block_of, partitions, written
 
 FOLDS, HELD_OUT = 10, 0
 ALPHA = 0.1
+#: Bytes of context that the query's model looks back; a gram is one byte longer and has 8 bytes at most.
+ORDER = 5
 BLOCKS_PER_BUCKET = 8
+#: Grams of a bucket whose probabilities are worked out at once.
+GRAM_SLICE = 50_000
+#: Bytes of text handled at once: a byte takes some eight numbers.
+GRAM_CHUNK = 1 << 19
 #: Stands for the end of a text among word hashes.
 END = np.uint64(0x0123456789ABCDEF)
 _U = np.uint64
@@ -114,7 +123,14 @@ class Pretrained:
         unseen = zero == 0
         p0 = self._level(zero[None], np.zeros((1, 256), bool), np.full((1, 256), 1 / max(int(unseen.sum()), 1)) * unseen)
         p1 = self._level(one, np.zeros_like(one, bool), None, zero, p0)
-        p2 = self._two(two, contexts & 255, one, zero, p0)
+        tail = self._tail(two, contexts & 255, one, zero)
+        share, escape = self._share(two, np.zeros_like(two, bool))
+        p2 = share + escape * tail
+        #: For longer contexts: counts, totals and kinds of a row, and what a byte has after the row's escape.
+        empty = np.zeros((256, 256))
+        self.counts = np.concatenate([two, empty])
+        self.total, self.kinds = self.counts.sum(1), (self.counts > 0).sum(1)
+        self.tail = np.concatenate([tail, p1])
         with np.errstate(divide="ignore"):
             self.table = np.log10(np.concatenate([p2, p1])).astype(np.float32)
         #: Row of each pair of bytes.
@@ -137,12 +153,12 @@ class Pretrained:
             below = rest + out * none
         return share + escape * np.where(counts > 0, 0, below)
 
-    def _two(self, two, last, one, zero, p0):
-        share, escape = self._share(two, np.zeros_like(two, bool))
+    def _tail(self, two, last, one, zero):
+        """Probabilities by contexts of one byte and none of the bytes that two bytes' contexts have not seen."""
         first, out1 = self._share(one[last], two > 0)
         rest, out0 = self._share(np.broadcast_to(zero, two.shape), one[last] > 0)
         none = (zero == 0) / max(int((zero == 0).sum()), 1)
-        return share + escape * (first + out1 * (rest + out0 * none))
+        return first + out1 * (rest + out0 * none)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         keys = trigrams(data, offsets)
@@ -151,6 +167,75 @@ class Pretrained:
         return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
+    """context << 8 | byte for each byte, the context's nearest byte first; a text starts after zero bytes."""
+    out = data.astype(np.uint64)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    for k in range(1, order + 1):
+        back = np.zeros(len(data), np.uint64)
+        back[k:] = data[:-k]
+        back[place < k] = 0
+        out |= back << _U(8 * (order + 1 - k))
+    return out
+
+
+def gram_bucket(keys: np.ndarray, order: int, buckets: int) -> np.ndarray:
+    """The bucket of each gram, by its context's last three bytes."""
+    return (R.mix(keys >> _U(8 * (order - 2))) % _U(buckets)).astype(np.int64)
+
+
+def gram_log10(keys: np.ndarray, counts: np.ndarray, order: int, low: Pretrained) -> np.ndarray:
+    """log10 probabilities of sorted distinct grams with their training counts, about GRAM_SLICE at once.
+
+    For a context of three bytes all grams must be there, and are in one slice.
+    """
+    contexts = keys >> _U(8 * (order - 2))
+    firsts = np.append(np.flatnonzero(np.diff(contexts, prepend=~contexts[:1])), len(keys))
+    cuts = np.unique(np.append(firsts[np.searchsorted(firsts, np.arange(0, len(keys), GRAM_SLICE))], len(keys)))
+    out = np.zeros(len(keys), np.float32)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        out[a:b] = _slice_log10(keys[a:b], counts[a:b], order, low)
+    return out
+
+
+def _slice_log10(keys: np.ndarray, counts: np.ndarray, order: int, low: Pretrained) -> np.ndarray:
+    """gram_log10 of a slice.
+
+    The followers of a context are among those of its shorter ones, so what an escape excludes is a
+    sum and a number for each context.
+    """
+    symbol = (keys & _U(255)).astype(np.int64)
+    near = (keys >> _U(8 * order)).astype(np.int64)
+    row = low.row[(keys >> _U(8 * (order - 1)) & _U(255)).astype(np.int64) << 8 | near]
+    held, at = [], np.arange(len(keys))  # of each order: counts, and totals, kinds and excluded sums of the context
+    level, n = keys, counts.astype(np.float64)
+    for k in range(order, 2, -1):
+        _, context = np.unique(level >> _U(8), return_inverse=True)
+        if k > 3:
+            shorter, up = np.unique(level >> _U(16) << _U(8) | level & _U(255), return_inverse=True)
+            below = np.bincount(up, weights=n, minlength=len(shorter))
+            under = below[up]
+        else:
+            first = np.zeros(len(level), np.int64)
+            first[at] = np.arange(len(keys))  # a key of each gram
+            under = low.counts[row[first], symbol[first]]
+        seen = n > 0
+        total, kinds, out = (np.bincount(context, weights=w) for w in (n, seen, under * seen))
+        held.append((n[at], total[context][at], kinds[context][at], out[context][at]))
+        if k > 3:
+            level, n, at = shorter, below, up[at]
+    held.append((low.counts[row, symbol], low.total[row], low.kinds[row], None))
+    p, open_, gone, gone_kinds = np.ones(len(keys)), np.ones(len(keys), bool), 0.0, 0.0
+    for n, total, kinds, out in held:
+        left, weight = kinds - gone_kinds, total - gone + kinds - gone_kinds
+        here = open_ & (left > 0)
+        found = here & (n > 0)
+        p *= np.where(here, np.where(found, n, left) / np.where(here, weight, 1), 1)
+        open_ &= ~found
+        gone, gone_kinds = out, kinds
+    return np.log10(np.where(open_, p * low.tail[row, symbol], p))
+
+
 def _deltas(sorted_: np.ndarray) -> bytes:
     d = np.diff(sorted_, prepend=_U(0))
     return _planes(d)
@@ -193,50 +278,81 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.insert(h, R.first_of(n)[1:], END), n + 1
 
 
-#: Buckets of words come first, then as many of trigrams.
+#: Parts that trigrams are summed in.
 TRIGRAM_BUCKETS = 16
 
 
-def _learn(buckets: int):
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, summed counts, place of each part's keys among them)."""
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    total = np.bincount(place, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.uint64)
+    return keys, total, place
+
+
+def _trigram_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's training trigrams, in buckets."""
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+    for batch in batches:
+        for part in R.chunks(batch, size=GRAM_CHUNK):
+            data, off = R.buffers(part.column("text"))
+            learns = ~is_held_out(part.column("doc").to_numpy(zero_copy_only=False))
+            keys, counts = np.unique(trigrams(data, off)[np.repeat(learns, np.diff(off))], return_counts=True)
+            parts.append((keys.astype(np.uint64), counts.astype(np.uint64)))
+        parts = [_merged(parts)[:2]]
+    keys, total = parts[0]
+    cuts = _cuts(keys, 24, TRIGRAM_BUCKETS)
+    yield from _messages([(k, -2, _deltas(keys[a:b]), _planes(total[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]).to_batches()
+
+
+def _trigram_sums(table: pa.Table) -> pa.Table:
+    keys, total, _ = _merged([(_sums(a), _unplane(b)) for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True)])
+    return _messages([(table.column("bucket")[0].as_py(), -2, _deltas(keys), _planes(total))])
+
+
+def _learn(buckets: int, order: int):
+    """Buckets of words come first, then as many of grams."""
+
     def run(docs: pa.Table) -> pa.Table:
-        """A block's distinct words with their training counts, and its training trigrams."""
+        """A block's distinct words and grams with their training counts."""
         block = docs.column("block")[0].as_py()
-        hashes, train, grams = [], [], []
-        for part in R.chunks(docs):
+        hashes, train, sent = [], [], []
+        for part in R.chunks(docs, size=GRAM_CHUNK):
             data, off = R.buffers(part.column("text"))
             learns = ~is_held_out(part.column("doc").to_numpy())
             h, n = _word_hashes(data, off)
             hashes.append(h)
             train.append(np.repeat(learns, n))
-            keys = trigrams(data, off)
-            grams.append(np.unique(keys[np.repeat(learns, np.diff(off))], return_counts=True))
+            if order > 2:
+                keys, place = np.unique(grams(data, off, order), return_inverse=True)
+                sent.append((keys, np.bincount(place, weights=np.repeat(learns, np.diff(off)), minlength=len(keys))))
         words, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         counts = np.bincount(inverse, weights=np.concatenate(train), minlength=len(words)).astype(np.uint64)
         cuts = _cuts(words, 64, buckets)
         out = [(k, block, _deltas(words[a:b]), _planes(counts[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        keys, place = np.unique(np.concatenate([k for k, _ in grams]), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([c for _, c in grams]), minlength=len(keys)).astype(np.uint64)
-        cuts = _cuts(keys.astype(np.uint64), 24, TRIGRAM_BUCKETS)
-        return _messages(out + [(buckets + k, -2, _deltas(keys[a:b].astype(np.uint64)), _planes(total[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
+        if sent:
+            keys, total, _ = _merged(sent)
+            out += [(buckets + k, block, _deltas(x), _planes(c)) for k, x, c in R.by_bucket(gram_bucket(keys, order, buckets), keys, total)]
+        return _messages(out)
 
     return run
 
 
-def _count(buckets: int):
+def _count(buckets: int, order: int, model):
     def run(table: pa.Table) -> pa.Table:
-        """A bucket's corpus counts, back to each block; its totals as block -1; or its trigrams as block -2."""
+        """A bucket's corpus counts, or its grams' log10 probabilities, back to each block; totals of words as block -1."""
         bucket = table.column("bucket")[0].as_py()
-        sent = [_sums(x) for x in table.column("a").to_pylist()]
-        keys, counts = np.concatenate(sent), np.concatenate([_unplane(x) for x in table.column("b").to_pylist()])
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        total = np.zeros(len(distinct), np.uint64)
-        np.add.at(total, inverse, counts)
-        if bucket >= buckets:
-            return _messages([(bucket, -2, _deltas(distinct), _planes(total))])
-        out, at, back = [(bucket, -1, R.pack(np.array([(total > 0).sum(), total.sum()], np.uint64)), b"")], 0, total[inverse]
-        for block, s in zip(table.column("block").to_pylist(), sent, strict=True):
-            out.append((bucket, block, _planes(back[at : at + len(s)]), b""))
-            at += len(s)
+        sizes = [len(x.as_py()) // 8 for x in table.column("a")]
+        distinct, total, inverse = _merged([(_sums(a.as_py()), _unplane(b.as_py())) for a, b in zip(table.column("a"), table.column("b"), strict=True)])
+        out, at = [], 0
+        if bucket < buckets:
+            out.append((bucket, -1, R.pack(np.array([(total > 0).sum(), total.sum()], np.uint64)), b""))
+            back = total[inverse]
+        else:
+            back = gram_log10(distinct, total, order, Pretrained(*pickle.loads(model.value)))[inverse]
+        for block, size in zip(table.column("block").to_pylist(), sizes, strict=True):
+            mine = back[at : at + size]
+            out.append((bucket, block, _planes(mine) if bucket < buckets else np.ascontiguousarray(mine.view(np.uint8).reshape(-1, 4).T).tobytes(), b""))
+            at += size
         return _messages(out)
 
     return run
@@ -246,44 +362,63 @@ SCORED = "doc bigint, held_out boolean, n_tokens bigint, n_known bigint, count_l
 _SCORED = pa.schema([("doc", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("count_log", pa.float64()), ("score", pa.float64())])
 
 
-def _score(model, buckets: int):
+def _score(model, buckets: int, order: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _SCORED.empty_table()
-        trained = Pretrained(*pickle.loads(model.value))
-        parts = [(part, *_word_hashes(*R.buffers(part.column("text")))) for part in R.chunks(docs)]
+        got = dict(zip(replies.column("bucket").to_pylist(), replies.column("a").to_pylist(), strict=True))
+        parts = [(part, *_word_hashes(*R.buffers(part.column("text")))) for part in R.chunks(docs, size=GRAM_CHUNK)]
         words, inverse = np.unique(np.concatenate([h for _, h, _ in parts]), return_inverse=True)
         cuts, corpus = _cuts(words, 64, buckets), np.zeros(len(words), np.uint64)
-        for bucket, a in zip(replies.column("bucket").to_pylist(), replies.column("a").to_pylist(), strict=True):
-            corpus[cuts[bucket] : cuts[bucket + 1]] = _unplane(a)
+        for bucket, a in got.items():
+            if bucket < buckets:
+                corpus[cuts[bucket] : cuts[bucket + 1]] = _unplane(a)
         counts = corpus[inverse].astype(np.float64)
+        if order > 2:
+            named = []
+            for part, _, _ in parts:
+                mine, place = np.unique(grams(*R.buffers(part.column("text")), order), return_inverse=True)
+                named.append((mine, place.astype(np.int32)))
+            keys = np.unique(np.concatenate([k for k, _ in named]))
+            log10 = np.zeros(len(keys))
+            for bucket, places in R.by_bucket(gram_bucket(keys, order, buckets), np.arange(len(keys))):
+                log10[places] = np.ascontiguousarray(np.frombuffer(got[buckets + bucket], np.uint8).reshape(4, -1).T).view(np.float32).ravel()
+        else:
+            trained = Pretrained(*pickle.loads(model.value))
         out, at = [], 0
-        for part, h, n in parts:
+        for k, (part, h, n) in enumerate(parts):
             mine = counts[at : at + len(h)]
             at += len(h)
             first = R.first_of(n)
             ids = part.column("doc").to_numpy()
-            out.append((ids, is_held_out(ids), n, np.add.reduceat(mine > 0, first[:-1], dtype=np.int64), np.add.reduceat(np.log10(mine + ALPHA), first[:-1]), trained.score(*R.buffers(part.column("text")))))
+            data, off = R.buffers(part.column("text"))
+            if order > 2:
+                total = np.zeros(len(data) + 1)
+                np.cumsum(log10[np.searchsorted(keys, named[k][0])][named[k][1]], out=total[1:])
+                scores = total[off[1:]] - total[off[:-1]]
+            else:
+                scores = trained.score(data, off)
+            out.append((ids, is_held_out(ids), n, np.add.reduceat(mine > 0, first[:-1], dtype=np.int64), np.add.reduceat(np.log10(mine + ALPHA), first[:-1]), scores))
         return pa.Table.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(6)], schema=_SCORED)
 
     return run
 
 
-def score_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
+def score_documents(docs: DataFrame, id_column: str = "doc_id", order: int = 2) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; order: 2 to 7 bytes of context."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc is not null")
     blocks = block_count(docs)
     buckets = max(partitions(spark), -(-blocks // BLOCKS_PER_BUCKET))
+    seen = docs.mapInArrow(_trigram_parts, MESSAGE).groupBy("bucket").applyInArrow(_trigram_sums, MESSAGE).select("a", "b").collect()
+    keys = np.concatenate([np.zeros(0, np.uint64), *(_sums(r.a) for r in seen)]).astype(np.int64)
+    counts = np.concatenate([np.zeros(0, np.uint64), *(_unplane(r.b) for r in seen)]).astype(np.float64)
+    model = spark.sparkContext.broadcast(pickle.dumps((keys, counts)))
     held = docs.withColumn("block", block_of("doc", blocks))
-    sent = held.groupBy("block").applyInArrow(_learn(buckets), MESSAGE)
-    counted = written(sent.groupBy("bucket").applyInArrow(_count(buckets), MESSAGE), "counts")
+    sent = held.groupBy("block").applyInArrow(_learn(buckets, order), MESSAGE)
+    counted = written(sent.groupBy("bucket").applyInArrow(_count(buckets, order, model), MESSAGE), "counts")
     totals = [R.unpack(r.a, "u8")[0] for r in counted.filter("block = -1").select("a").toLocalIterator()]
     kinds, tokens = (sum(int(t[i]) for t in totals) for i in (0, 1))
-    grams = counted.filter("block = -2").select("a", "b").collect()
-    keys = np.concatenate([np.zeros(0, np.uint64), *(_sums(r.a) for r in grams)]).astype(np.int64)
-    counts = np.concatenate([np.zeros(0, np.uint64), *(_unplane(r.b) for r in grams)]).astype(np.float64)
-    model = spark.sparkContext.broadcast(pickle.dumps((keys, counts)))
-    scored = held.groupBy("block").cogroup(counted.filter("block >= 0").groupBy("block")).applyInArrow(_score(model, buckets), SCORED)
+    scored = held.groupBy("block").cogroup(counted.filter("block >= 0").groupBy("block")).applyInArrow(_score(model, buckets, order), SCORED)
     log_total = math.log10(tokens + ALPHA * (kinds + 1))
     return scored.select(F.col("doc").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("count_log") - F.col("n_tokens") * F.lit(log_total)).alias("base_score"), "score")

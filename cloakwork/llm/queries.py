@@ -70,7 +70,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(load(spark, sf_dir, "documents"))
+    return lm_score.score_documents(load(spark, sf_dir, "documents"), order=lm_score.ORDER)
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,23 @@ def test_lm_score_equals_plain_models(spark, monkeypatch, per_block):
     assert lm_score.score_documents(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("per_block", [5, 512])
+def test_longer_contexts_equal_the_plain_model(spark, monkeypatch, per_block):
+    texts = corpus() + ["Ünï😀", "\x00\x01\x00", "z" * 500, "\x00" * 9, "new grams 123"]
+    monkeypatch.setattr(lm_score, "block_count", lambda d: max(1, -(-d.count() // per_block)))
+    trie = lm_score.ByteTrie(lm_score.ORDER)
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 10:
+            past = b"\0" * trie.order
+            for b in (t or "").encode():
+                trie.learn(past, b)
+                past = (past + bytes([b]))[1:]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in lm_score.score_documents(d, order=lm_score.ORDER).collect():
+        assert math.isclose(x.score, trie.score((texts[x.doc_id] or "").encode()), rel_tol=1e-5, abs_tol=1e-6)
+    assert lm_score.score_documents(d.limit(0), order=lm_score.ORDER).count() == 0
+
+
 def test_byte_probabilities_sum_to_one():
     trie = lm_score.ByteTrie(2)
     trie.score(b"abracadabra abracadabra", learn=True)
