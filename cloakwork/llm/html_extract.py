@@ -11,7 +11,8 @@ with most text of its own, is the main text.
 Vectors are compared by a sum of page hashes per (host, token), so a host is never
 gathered in one task: tasks sum before the shuffle, and a host's template (tokens
 of at least half its pages) has at most twice as many tokens as its mean page.
-Text inside an explicit article is never dropped for recurring on other pages.
+Text inside an explicit article belongs to the template as any other where it recurs; only an
+article that would be lost whole, a copy of one on most pages of its host, stays as it is.
 
 Nulls and odd input: a null or empty page has the text ''; a null or broken url is the
 host ''; unclosed and stray tags are repaired as browsers do, roughly; repeated rows and
@@ -155,9 +156,9 @@ def _page_key(page_id, url) -> int:
 
 
 def tokens_of(tags: list[str], blocks: list[Block]) -> dict[int, tuple[int, int, int]]:
-    """Token -> (times, first place, depth): tags by path, and text blocks outside of articles."""
+    """Token -> (times, first place, depth): tags by path, and text blocks."""
     out: dict[int, tuple[int, int, int]] = {}
-    for place, (key, depth) in enumerate([*((t, t.count("/")) for t in tags), *((f"{b.path}\t{b.text}", -1) for b in blocks if not b.content)]):
+    for place, (key, depth) in enumerate([*((t, t.count("/")) for t in tags), *((f"{b.path}\t{b.text}", -1) for b in blocks)]):
         h = _hash(key)
         times, first, _ = out.get(h, (0, place, depth))
         out[h] = (times + 1, first, depth)
@@ -205,9 +206,9 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
     """The page's main text: blocks of its article, or of the template's fullest slot, without chrome."""
     _, blocks = parse(page)
     free = [b for b in blocks if not b.chrome]
-    inside = [b for b in free if b.content]
+    own = [b for b in free if _hash(f"{b.path}\t{b.text}") not in template]
+    inside = [b for b in own if b.content] or [b for b in free if b.content]
     if not inside:
-        own = [b for b in free if _hash(f"{b.path}\t{b.text}") not in template]
 
         def slot(path: str) -> str:
             """The deepest template element that holds the block."""

@@ -232,6 +232,14 @@ def test_html_main_text(spark):
     assert html_extract._hash("/html/body/nav") in template.tokens and html_extract._hash("/html/body/footer") in template.tokens
 
 
+def test_html_template_reaches_into_articles(spark):
+    note = "<div class='callout'><p>Read this every day.</p></div>"
+    rows = [(i, f"http://h.example/{i}", page(i, f"<article><h1>Head {i}</h1>{note}<p>Text {i}.</p></article>")) for i in range(12)]
+    rows += [(100 + i, f"http://copies.example/{i}", page(0, "<article><h1>Same</h1><p>One.</p><p>Two.</p></article>")) for i in range(6)]
+    got = {x.page_id: x.text for x in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i}\nText {i}." for i in range(12)} | {100 + i: "Same\nOne.\nTwo." for i in range(6)}
+
+
 def test_mixing_meets_targets(spark):
     docs, labels = [], []
     for i in range(600):
