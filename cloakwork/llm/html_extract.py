@@ -5,8 +5,8 @@ one host, tokens with the same occurrence vector (the same number of times on
 the same pages) form an equivalence class; a class of several tokens that occur on most
 pages, each once a page, in one order and properly nested, belongs to the host's
 template. What stands between template tokens are slots. Slots inside menus,
-adverts, forms and the like are chrome; the article's slot, or without one the slot
-with most text of its own, is the main text.
+adverts, forms and the like are chrome; the article's slots, or without an article all
+that are left, are the main text, in page order.
 
 Vectors are compared by a sum of page hashes per (host, token), so a host is never
 gathered in one task: tasks sum before the shuffle, and a host's template (tokens
@@ -24,7 +24,6 @@ from __future__ import annotations
 import html as _html
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -203,26 +202,11 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's main text: blocks of its article, or of the template's fullest slot, without chrome."""
+    """The page's main text: blocks of its article, or without one all blocks, less the template and chrome."""
     _, blocks = parse(page)
     free = [b for b in blocks if not b.chrome]
     own = [b for b in free if _hash(f"{b.path}\t{b.text}") not in template]
-    inside = [b for b in own if b.content] or [b for b in free if b.content]
-    if not inside:
-
-        def slot(path: str) -> str:
-            """The deepest template element that holds the block."""
-            parts = path.split("/")
-            for k in range(len(parts) - 1, 1, -1):
-                if parts[k].split(".")[0] not in ("p", "li", "ul", "ol", "h1", "h2", "h3", "h4", "blockquote", "pre", "td", "tr") and (not template or _hash("/".join(parts[: k + 1])) in template):
-                    return "/".join(parts[: k + 1])
-            return ""
-
-        sizes = Counter()
-        for b in own:
-            sizes[slot(b.path)] += len(b.text)
-        best = max(sizes, key=lambda k: (sizes[k], k), default="")
-        inside = [b for b in own if slot(b.path) == best]
+    inside = [b for b in own if b.content] or [b for b in free if b.content] or own
     return "\n".join(b.text for b in inside)
 
 

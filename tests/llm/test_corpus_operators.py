@@ -240,6 +240,13 @@ def test_html_template_reaches_into_articles(spark):
     assert got == {i: f"Head {i}\nText {i}." for i in range(12)} | {100 + i: "Same\nOne.\nTwo." for i in range(6)}
 
 
+def test_html_keeps_every_slot_without_an_article():
+    body = "<div class='title'>Head</div><div class='lead'>Lead.</div><div class='body'><p>The long part.</p></div><div class='more'><p>End.</p></div>"
+    assert html_extract.main_text(page(1, body)) == "Head\nLead.\nThe long part.\nEnd."
+    tags, blocks = html_extract.parse(page(1, "<div class='title'>Site</div>"))
+    assert html_extract.main_text(page(1, body.replace("Head", "Site")), set(html_extract.tokens_of(tags, blocks))) == "Lead.\nThe long part.\nEnd."
+
+
 def test_mixing_meets_targets(spark):
     docs, labels = [], []
     for i in range(600):
