@@ -1,15 +1,17 @@
 """Chat formatting by schema fingerprints, with DataFrame functions only.
 
-A record is a JSON object in any of several layouts (messages, conversations,
+A record is a JSON object, or a struct, in any of several layouts (messages, conversations,
 prompt and response, instruction with input and output). Its nested field paths,
 without types, are hashed to a fingerprint; the fingerprint selects a declarative
-mapping (LAYOUTS) that gives canonical turns (role, text). Turns become one string
+mapping (LAYOUTS) that gives canonical turns (role, text). Structs have one fingerprint, that
+of their schema, so rows of turns are never parsed. Turns become one string
 under a template that marks them; control strings inside texts are escaped so
 that reading the output back gives every text unchanged. The loss mask is the
 code point ranges of assistant texts in that string.
 
 Nulls and odd input: a null text or role is empty; a record of an unknown layout
-or with broken JSON has null turns and layout 'unknown' and stays in the result;
+or with broken JSON has null turns and layout 'unknown' and stays in the result; JSON too large
+to be parsed is an error;
 no turns give an empty string; turns with equal numbers are ordered by role, then
 text; repeated rows are turns of their own; rows with a null conversation id form one
 conversation; an empty table gives an empty result; other columns are ignored.
@@ -22,6 +24,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TURNS = "array<struct<role:string,text:string>>"
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -43,9 +46,17 @@ LAYOUTS = [
 EMPTY = {"OBJECT<messages: ARRAY<VOID>>": "messages", "OBJECT<conversations: ARRAY<VOID>>": "conversations"}
 
 
+#: A variant has at most 2**27 bytes, up to four a byte of JSON: what gives none from here on may be whole JSON.
+LARGE_JSON = 1 << 25
+
+
 def fingerprint(record: Column) -> Column:
     """A hash of the record's nested field paths; leaf types don't take part, except for empty lists."""
-    paths = F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), r": (STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DATE|TIMESTAMP|DECIMAL\([0-9,]*\))(?=[,>])", "")
+    parsed = F.try_parse_json(record)
+    size = F.octet_length(record)
+    too_large = F.concat(F.lit("chat record of "), size.cast("string"), F.lit(" bytes of JSON is broken or too large to be parsed; give it as a struct"))
+    parsed = F.coalesce(parsed, F.when(size >= LARGE_JSON, F.raise_error(too_large).cast("variant")))
+    paths = F.regexp_replace(F.schema_of_variant(parsed), r": (STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DATE|TIMESTAMP|DECIMAL\([0-9,]*\))(?=[,>])", "")
     return F.sha2(paths, 256)
 
 
@@ -53,8 +64,23 @@ def _hash(paths: str) -> str:
     return hashlib.sha256(paths.encode()).hexdigest()
 
 
+def schema_paths(kind: T.DataType) -> str:
+    """The nested field paths of a type, as LAYOUTS writes them."""
+    if isinstance(kind, T.ArrayType):
+        return f"ARRAY<{schema_paths(kind.elementType) or 'VOID'}>"
+    if not isinstance(kind, T.StructType):
+        return ""
+    held = sorted((f.name, schema_paths(f.dataType)) for f in kind.fields)
+    return f"OBJECT<{', '.join(n + (': ' + p if p else '') for n, p in held)}>"
+
+
 def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
-    """records with `layout` and `turns` in place of the JSON column."""
+    """records with `layout` and `turns` in place of the column of JSON or structs."""
+    if isinstance(records.schema[column].dataType, T.StructType):
+        paths = schema_paths(records.schema[column].dataType)
+        name, turns = next(((n, F.expr(e.replace("r.", f"`{column}`."))) for n, p, _, e in LAYOUTS if p == paths), ("unknown", F.lit(None)))
+        here = F.col(column).isNotNull()
+        return records.select(*[c for c in records.columns if c not in (column, "layout", "turns")], F.when(here, name).otherwise("unknown").alias("layout"), F.when(here, turns).cast(TURNS).alias("turns"))
     marked = records.withColumn("fingerprint", fingerprint(F.col(column)))
     layout, turns = F, F.lit(None).cast(TURNS)
     named = F.lit("unknown")
@@ -114,10 +140,10 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def records_of_rows(rows: DataFrame) -> DataFrame:
-    """(conv_id, record): a table with a row for each turn, as records in the messages layout."""
+    """(conv_id, record): a table with a row for each turn, as structs in the messages layout."""
     turn = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("sorted"))
-    return grouped.select("conv_id", F.to_json(F.struct(F.transform("sorted", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))).alias("record"))
+    return grouped.select("conv_id", F.struct(F.transform("sorted", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages")).alias("record"))
 
 
 def format_chats(records: DataFrame, column: str = "record") -> DataFrame:

@@ -212,6 +212,15 @@ def test_layouts_become_the_same_turns(spark):
         assert (None if x.turns is None else [tuple(t) for t in x.turns]) == turns
 
 
+def test_chats_over_the_variant_limit(spark):
+    rows = spark.range(136, numPartitions=8).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat('x', 1048576) AS text")
+    got = chat_format.format_chats(chat_format.records_of_rows(rows)).select("layout", F.size("turns").alias("n"), F.length("formatted").alias("chars"), F.size("loss_spans").alias("spans")).first()
+    assert (got.layout, got.n, got.spans) == ("messages", 136, 68) and got.chars > 136 << 20
+    large = spark.range(1).select(F.concat(F.lit('{"prompt":"q","response":"'), F.repeat(F.lit("x"), 1 << 27), F.lit('"}')).alias("record"))
+    with pytest.raises(Exception, match="too large to be parsed"):
+        chat_format.canonical_turns(large).select("layout").collect()
+
+
 def page(i, body):
     return f'<!DOCTYPE html><html><head><title>T{i}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">menu {i}</a></li></ul></nav><!-- ad {i} --><div class="ad">buy {i}</div>{body}<footer>&copy; host {i}</footer></body></html>'
 
