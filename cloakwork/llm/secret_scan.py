@@ -29,8 +29,8 @@ SCOPE = 200
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-WEAK_ID = re.compile(r"""\b(?:client_?id|user(?:name)?|login|account|access_?key_?id)["']?[ ]{0,3}[:=][ ]{0,3}["']?([A-Za-z0-9@._-]{3,64})""", re.I | re.A)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK_ID = re.compile(r"""(?<![A-Za-z0-9])(?:client_?id|user(?:name)?|login|account|access_?key_?id)["']?[ ]{0,3}[:=][ ]{0,3}["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""\b(?:https?|s3|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis)://[^\s"'<>]+""", re.I | re.A)
 
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
