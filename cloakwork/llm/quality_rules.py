@@ -3,11 +3,13 @@
 A document's character classes and common words are two histograms. Each is
 compared with references, one per language, by Jensen-Shannon distance; a text
 far from all of them is junk. References are the summed histograms of every
-document of the language, so they follow the corpus. Texts too short for a
+document of the language, so they follow the corpus. A document whose own language has no
+reference is not judged by those of others: only the base rule speaks on it. Texts too short for a
 steady histogram are not judged by it (minimum-length guards).
 
 Nulls and odd input: a null or empty text has no words and fails the base rule;
-a null language takes part in no reference and is compared with all of them;
+a null language takes part in no reference and has none, a table without
+languages is compared with all of them;
 repeated rows and repeated ids are judged row by row; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -194,8 +196,8 @@ def measure_histograms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 SCHEMA = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, class_distance double, word_distance double, base_failed boolean, kept boolean"
 
 
-def judge(m: dict[str, np.ndarray], references) -> dict[str, np.ndarray]:
-    """The base rule and the divergence verdict for measured texts."""
+def judge(m: dict[str, np.ndarray], references, langs=None) -> dict[str, np.ndarray]:
+    """The base rule and the divergence verdict for measured texts; with langs, only for those whose language has a reference."""
     base_failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
     n = len(base_failed)
     near_c, near_w = np.zeros(n), np.zeros(n)
@@ -206,6 +208,9 @@ def judge(m: dict[str, np.ndarray], references) -> dict[str, np.ndarray]:
         near_c, near_w = c[best, np.arange(n)], w[best, np.arange(n)]
     junk = (near_c > MAX_CLASS_DISTANCE) & (m["classes"].sum(1) >= MIN_CLASS_CHARS)
     junk |= (near_w > MAX_WORD_DISTANCE) & (m["n_forms"] >= MIN_WORDS)
+    if langs is not None:
+        known = {r[0] for r in references}
+        junk &= np.array([x in known for x in langs], bool)
     return {"class_distance": near_c, "word_distance": near_w, "base_failed": base_failed, "kept": ~base_failed & ~junk}
 
 
@@ -216,7 +221,7 @@ def score_quality(docs: DataFrame, id_column: str = "doc_id", references=None, k
     """
     references = language_references(docs) if references is None else references
     names = SCHEMA.replace(" bigint", "").replace(" double", "").replace(" boolean", "").split(", ")
-    source = docs if keep_columns else docs.select(id_column, F.col("text").cast("string").alias("text"))
+    source = docs if keep_columns else docs.select(id_column, F.col("text").cast("string").alias("text"), *[F.col(c) for c in docs.columns if c == "lang" != id_column])
     source = source.drop(*names)
     kept_fields = [f for f in source.schema.fields if keep_columns or f.name == id_column]
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -227,7 +232,8 @@ def score_quality(docs: DataFrame, id_column: str = "doc_id", references=None, k
         for batch in batches:
             for part in R.chunks(batch):
                 m = measure(*R.buffers(part.column("text")))
-                got = m | judge(m, references)
+                langs = part.column("lang").cast(pa.string()).to_pylist() if "lang" in part.schema.names else None
+                got = m | judge(m, references, langs)
                 arrays = [part.column(f.name) for f in kept_fields] + [pa.array(got[k]) for k in names]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept_fields] + names)
 

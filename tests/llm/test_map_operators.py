@@ -135,6 +135,16 @@ def test_quality_counts_equal_brute_force(docs):
             assert row.base_failed == (len(w) < 10 or 100 * len(cover) > 20 * len(w))
 
 
+def test_quality_keeps_languages_without_a_reference(spark):
+    english = " ".join(f"the cat number{i} of house{i} is in to and garden{i}" for i in range(60))
+    italian = "Il treno parte ogni mattina dalla stazione vecchia e arriva in centro dopo circa mezz'ora. I viaggiatori abituali leggono oppure guardano fuori, mentre qualcuno dorme ancora. Quando piove molto il fiume sale fino al ponte, allora bisogna cambiare strada e passare dietro alla collina. Mia sorella dice che preferisce la bicicletta, anche quando fa freddo, perch\u00e9 cos\u00ec vede meglio gli alberi, le case, i giardini e tutte quelle finestre accese prima dell'alba."
+    junk = " ".join(f"th{i}%%% ca{i}&&& | {i}### $$$" for i in range(120))
+    rows = [(i, english.replace("cat", f"cat{i}"), "en") for i in range(20)] + [(50, italian, "it"), (51, italian, None), (52, italian, "en"), (99, junk, "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {x.doc_id for x in quality_rules.keep_good(d).collect()} == {*range(20), 50, 51}
+    assert {x.doc_id for x in quality_rules.score_quality(d).filter("kept").collect()} == {*range(20), 50, 51}
+
+
 def test_quality_rejects_other_distributions(spark):
     good = " ".join(f"the cat number{i} of house{i} is in to and garden{i}" for i in range(60))
     junk = " ".join(f"th{i}%%% ca{i}&&& | {i}### $$$" for i in range(120))
