@@ -3,8 +3,9 @@
 A page is a sequence of tokens: tags with their path, and text blocks. Over the pages of
 one host, tokens with the same occurrence vector (the same number of times on
 the same pages) form an equivalence class; a class of several tokens that occur on most
-pages, each once a page, in one order and properly nested, belongs to the host's
-template. What stands between template tokens are slots. Slots inside menus,
+pages, each once a page, belongs to the host's template. Its tokens are properly nested without
+a test: a token's path names all its ancestors, so one that occurs once stands inside them on
+every page. That siblings keep one order is not tested. What stands between template tokens are slots. Slots inside menus,
 adverts, forms and the like are chrome; the article's slots, or without an article all
 that are left, are the main text, in page order.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 import html as _html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -154,14 +156,9 @@ def _page_key(page_id, url) -> int:
     return (_hash(f"{page_id} {url}") * 0x9E3779B97F4A7C15) & ((1 << 48) - 1)
 
 
-def tokens_of(tags: list[str], blocks: list[Block]) -> dict[int, tuple[int, int, int]]:
-    """Token -> (times, first place, depth): tags by path, and text blocks."""
-    out: dict[int, tuple[int, int, int]] = {}
-    for place, (key, depth) in enumerate([*((t, t.count("/")) for t in tags), *((f"{b.path}\t{b.text}", -1) for b in blocks)]):
-        h = _hash(key)
-        times, first, _ = out.get(h, (0, place, depth))
-        out[h] = (times + 1, first, depth)
-    return out
+def tokens_of(tags: list[str], blocks: list[Block]) -> dict[int, int]:
+    """Token -> times: tags by path, and text blocks."""
+    return Counter(_hash(key) for key in (*tags, *(f"{b.path}\t{b.text}" for b in blocks)))
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
@@ -182,7 +179,7 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for page_id, url, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 host, key = host_of(url), _page_key(page_id, url)
-                for token, (times, _, _) in [*tokens_of(*parse(page)).items(), (-1, (1, 0, 0))]:  # -1 counts the host's pages
+                for token, times in [*tokens_of(*parse(page)).items(), (-1, 1)]:  # -1 counts the host's pages
                     s = sums.setdefault((host, token), [0, 0, 0])
                     s[0] += 1
                     s[1] = (s[1] + key * times) & ((1 << 48) - 1)
