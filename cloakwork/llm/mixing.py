@@ -6,7 +6,8 @@ posterior over the domains. Nonnegative document rates r are then fitted so that
 expected tokens of each domain, sum over d of r_d n_d p_dk, match the targets:
 least squares by projected gradient from r = 1, with steps scaled by each domain's
 size. A step needs only the domains' totals, one small aggregate; a document's rate is the
-fold of all steps so far, so no state is kept between them.
+fold of all steps so far, so no state is kept between them. Where a domain's target is 0, a
+document's rate is at most its odds of not being of that domain, whatever the domain's share.
 
 The classifier is fitted on at most MAX_LABELLED labelled rows, the smallest by a
 hash of the id; it has at most MAX_FEATURES words. Everything else covers all rows.
@@ -28,7 +29,7 @@ from .cluster import written
 
 DOMAINS = ("good", "low", "toxic")
 #: Shares of the expected tokens that are aimed at.
-TARGETS = {"good": 0.98, "low": 0.0195, "toxic": 0.0005}
+TARGETS = {"good": 0.98, "low": 0.02, "toxic": 0.0}
 MAX_LABELLED = 20_000
 MAX_FEATURES = 200
 #: Labelled documents that must hold a word, and its least z-score for some domain.
@@ -111,13 +112,15 @@ def posteriors(docs: DataFrame, model: tuple[dict[str, float], dict[str, dict[st
     return out.select(*docs.columns, "n_tokens", *[(F.exp(F.col(f"__log.{d}") - top) / norm).alias(f"p_{d}") for d in DOMAINS])
 
 
-def rate_after(steps: list[list[float]]) -> Column:
-    """A document's rate after the steps: r <- max(0, r - sum of p_k step_k) for each, from 1."""
+def rate_after(steps: list[list[float]], targets: dict[str, float]) -> Column:
+    """A document's rate after the steps: r <- max(0, r - sum of p_k step_k) for each, from 1; then the caps of targets of 0."""
     p = [F.col(f"p_{d}") for d in DOMAINS]
+    caps = [F.when(F.col(f"p_{d}") > 0, (1 - F.col(f"p_{d}")) / F.col(f"p_{d}")) for d in DOMAINS if not targets[d]]
     if not steps:
-        return F.lit(1.0)
+        return F.least(F.lit(1.0), F.lit(1.0), *caps)
     held = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    return F.aggregate(held, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum((p[k] * s[k] for k in range(1, len(p))), p[0] * s[0])))
+    rate = F.aggregate(held, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum((p[k] * s[k] for k in range(1, len(p))), p[0] * s[0])))
+    return F.least(rate, *caps) if caps else rate
 
 
 def fit_rates(scored: DataFrame, targets: dict[str, float]) -> list[list[float]]:
@@ -133,7 +136,7 @@ def fit_rates(scored: DataFrame, targets: dict[str, float]) -> list[list[float]]
         if max(abs(now[d] - targets[d]) for d in DOMAINS) < TOLERANCE:
             break
         steps.append([(now[d] - targets[d]) / scale[d] for d in DOMAINS])
-        got = scored.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}") * rate_after(steps)).alias(d) for d in DOMAINS]).first()
+        got = scored.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}") * rate_after(steps, targets)).alias(d) for d in DOMAINS]).first()
         now = {d: got[d] / n for d in DOMAINS}
     return steps
 
@@ -146,4 +149,4 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     model = fit_classifier(docs, labels)
     scored = written(posteriors(docs, model), "memberships")  # the steps read its numbers only
     steps = fit_rates(scored, targets)
-    return scored.withColumn("rate", rate_after(steps)).withColumn("copies", F.round("rate").cast("long"))
+    return scored.withColumn("rate", rate_after(steps, targets)).withColumn("copies", F.round("rate").cast("long"))

@@ -256,6 +256,15 @@ def test_html_keeps_every_slot_without_an_article():
     assert html_extract.main_text(page(1, body.replace("Head", "Site")), set(html_extract.tokens_of(tags, blocks))) == "Lead.\nThe long part.\nEnd."
 
 
+@pytest.mark.parametrize("toxic", [1, 40])
+def test_toxic_documents_go_whatever_their_share(spark, toxic):
+    rows = [(i, 0.98, 0.02, 0.0) for i in range(4000)] + [(9000 + i, 0.0005, 0.0005, 0.999) for i in range(toxic)]
+    scored = spark.createDataFrame([(i, 100, *p) for i, *p in rows], "doc_id long, n_tokens long, p_good double, p_low double, p_toxic double")
+    steps = mixing.fit_rates(scored, mixing.TARGETS)
+    copies = {x.doc_id: x.copies for x in scored.withColumn("copies", F.round(mixing.rate_after(steps, mixing.TARGETS))).collect()}
+    assert {copies[i] for i in range(4000)} == {1} and {copies[9000 + i] for i in range(toxic)} == {0}
+
+
 def test_mixing_meets_targets(spark):
     docs, labels = [], []
     for i in range(600):
