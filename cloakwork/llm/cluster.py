@@ -9,8 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents of a block: what one task holds of a co-grouped table at once.
-BLOCK_DOCS = 512
+#: Text and documents of a block, on average: what one task holds of a co-grouped table at once.
+BLOCK_BYTES, BLOCK_DOCS = 2 << 20, 2048
+#: Text whose names meet in one bucket, on average.
+BUCKET_BYTES = 8 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +40,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def block_count(docs: DataFrame, per_block: int = BLOCK_DOCS) -> int:
-    """Blocks for a table: grows with its rows, so that a block's size doesn't."""
-    return max(8, -(-docs.count() // per_block))
+def layout(docs: DataFrame) -> tuple[int, int]:
+    """(blocks, buckets) for a table with a text column: their numbers grow with its bytes and rows, their sizes don't."""
+    size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    held = size["bytes"] or 0
+    return max(8, -(-held // BLOCK_BYTES), -(-size["rows"] // BLOCK_DOCS)), max(partitions(docs.sparkSession), -(-held // BUCKET_BYTES))
 
 
-def block_of(column: str, blocks: int):
-    return F.pmod(F.hash(column), F.lit(blocks)).cast("int")
+def block_of(blocks: int, *columns: str):
+    """The block of a row; with the text among the columns, texts that repeat an id are dealt out too."""
+    return F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int")

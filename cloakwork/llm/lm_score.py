@@ -7,7 +7,7 @@ then predicts among the bytes that the longer one has not (symbol exclusion). A
 document's score is the sum of log10 probabilities over its bytes: its code length
 with the sign turned. The pretrained model is learnt from all training documents.
 Its counts of contexts of up to two bytes are at most 2**24 whatever the corpus, the bound on what is
-collected and broadcast. Those of longer contexts grow with the corpus and stay distributed: blocks
+collected and broadcast; tasks sum them before they are shuffled by trigram. Those of longer contexts grow with the corpus and stay distributed: blocks
 of documents send their distinct grams (context and byte) to buckets of contexts' last
 three bytes, which hold all that the longer contexts need, and get each gram's probability back.
 `adaptive_score` is the model that learns a text as it reads it.
@@ -18,7 +18,8 @@ buckets of hashes and get the corpus counts back.
 
 Nulls and odd input: a null or empty text has one token, its end, and code length 0; rows with
 a null id are left out, as no fold is defined for them; repeated rows each count
-and come back; no training documents give uniform bytes and counts of 0; an empty
+and come back; a very long text is handled in pieces of its own block, whose task holds its distinct
+grams and words; no training documents give uniform bytes and counts of 0; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -34,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange as X
 from . import ragged as R
-from .cluster import block_count, block_of, partitions, written
+from .cluster import block_of, layout, written
 
 FOLDS, HELD_OUT = 10, 0
 ALPHA = 0.1
 #: Bytes of context that the query's model looks back; a gram is one byte longer and has 8 bytes at most.
 ORDER = 5
-BLOCKS_PER_BUCKET = 8
 #: Grams of a bucket whose probabilities are worked out at once.
 GRAM_SLICE = 50_000
 #: Bytes of text handled at once: a byte takes some eight numbers.
@@ -110,61 +112,65 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return two << 16 | one << 8 | d
 
 
-class Pretrained:
-    """Rows of 256 log10 probabilities: one for each context of two bytes seen, of one byte seen, and of none."""
+class Low:
+    """What contexts of two bytes, one and none have seen: sorted trigrams with counts, and sums for each context.
+
+    The followers of a context are among those of its shorter ones, so what an escape excludes is a
+    sum and a number for each context.
+    """
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        contexts, row = np.unique(keys >> 8, return_inverse=True)
-        two = np.zeros((len(contexts), 256))
-        np.add.at(two, (row, keys & 255), counts)
-        one, zero = np.zeros((256, 256)), np.zeros(256)
-        np.add.at(one, (keys >> 8 & 255, keys & 255), counts)
-        np.add.at(zero, keys & 255, counts)
-        unseen = zero == 0
-        p0 = self._level(zero[None], np.zeros((1, 256), bool), np.full((1, 256), 1 / max(int(unseen.sum()), 1)) * unseen)
-        p1 = self._level(one, np.zeros_like(one, bool), None, zero, p0)
-        tail = self._tail(two, contexts & 255, one, zero)
-        share, escape = self._share(two, np.zeros_like(two, bool))
-        p2 = share + escape * tail
-        #: For longer contexts: counts, totals and kinds of a row, and what a byte has after the row's escape.
-        empty = np.zeros((256, 256))
-        self.counts = np.concatenate([two, empty])
-        self.total, self.kinds = self.counts.sum(1), (self.counts > 0).sum(1)
-        self.tail = np.concatenate([tail, p1])
-        with np.errstate(divide="ignore"):
-            self.table = np.log10(np.concatenate([p2, p1])).astype(np.float32)
-        #: Row of each pair of bytes.
-        self.row = len(contexts) + (np.arange(1 << 16) & 255)
-        self.row[contexts] = np.arange(len(contexts))
+        self.keys, self.n2 = np.append(keys, 1 << 40), np.append(counts, 0.0)  # the last stands for none
+        last, symbol, context = keys >> 8 & 255, keys & 255, keys >> 8
+        self.n1 = np.bincount(last << 8 | symbol, weights=counts, minlength=1 << 16)
+        self.n0 = np.bincount(symbol, weights=counts, minlength=256)
+        pairs = np.flatnonzero(self.n1)
+        #: Of each context: its total, its kinds, and what its symbols count in the next shorter context.
+        self.two = self._sums(context, counts, self.n1[last << 8 | symbol], 1 << 16)
+        self.one = self._sums(pairs >> 8, self.n1[pairs], self.n0[pairs & 255], 256)
+        self.none = (self.n0.sum(), float((self.n0 > 0).sum()))
 
     @staticmethod
-    def _share(counts: np.ndarray, excluded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(probabilities of the symbols left, escape probability) of each row; nothing left escapes for certain."""
-        left = np.where(excluded, 0, counts)
-        kinds = (left > 0).sum(1, keepdims=True)
-        total = left.sum(1, keepdims=True) + kinds
-        return left / np.maximum(total, 1), np.where(total > 0, kinds / np.maximum(total, 1), 1.0)
-
-    def _level(self, counts, excluded, below, zero=None, p0=None):
-        share, escape = self._share(counts, excluded)
-        if below is None:  # order 0 among what order 1 has not seen
-            rest, out = self._share(np.broadcast_to(zero, counts.shape), counts > 0)
-            none = (zero == 0) / max(int((zero == 0).sum()), 1)
-            below = rest + out * none
-        return share + escape * np.where(counts > 0, 0, below)
-
-    def _tail(self, two, last, one, zero):
-        """Probabilities by contexts of one byte and none of the bytes that two bytes' contexts have not seen."""
-        first, out1 = self._share(one[last], two > 0)
-        rest, out0 = self._share(np.broadcast_to(zero, two.shape), one[last] > 0)
-        none = (zero == 0) / max(int((zero == 0).sum()), 1)
-        return first + out1 * (rest + out0 * none)
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        keys = trigrams(data, offsets)
-        total = np.zeros(len(keys) + 1)
-        np.cumsum(self.table[self.row[keys >> 8], keys & 255], dtype=np.float64, out=total[1:])
-        return total[offsets[1:]] - total[offsets[:-1]]
+    def _sums(context, counts, below, size):
+        return tuple(np.bincount(context, weights=w, minlength=size) for w in (counts, np.ones(len(counts)), below))
+
+    def count(self, trigram: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, trigram)
+        return np.where(self.keys[at] == trigram, self.n2[at], 0.0)
+
+    def levels(self, trigram: np.ndarray) -> list[tuple]:
+        """(count, and total, kinds and excluded sum of the context) of each trigram, for contexts of two bytes, one and none."""
+        two, one = trigram >> 8, trigram >> 8 & 255
+        return [(self.count(trigram), *(x[two] for x in self.two)), (self.n1[trigram & 0xFFFF], *(x[one] for x in self.one)), (self.n0[trigram & 255], *self.none, 0.0)]
+
+    def log10(self, trigram: np.ndarray) -> np.ndarray:
+        return _escaping(self.levels(trigram))
+
+
+def _escaping(levels: list[tuple]) -> np.ndarray:
+    """log10 probabilities from the longest context to none: the first that has the symbol gives it, the others escape."""
+    n = len(levels[0][0])
+    p, open_, gone, gone_kinds = np.ones(n), np.ones(n, bool), 0.0, 0.0
+    for count, total, kinds, out in levels:
+        left, weight = kinds - gone_kinds, total - gone + kinds - gone_kinds
+        here = open_ & (left > 0)
+        found = here & (count > 0)
+        p *= np.where(here, np.where(found, count, left) / np.where(here, weight, 1), 1)
+        open_ &= ~found
+        gone, gone_kinds = out, kinds
+    return np.log10(np.where(open_, p / np.maximum(256 - gone_kinds, 1), p))
+
+
+_low: dict[str, Low] = {}
+
+
+def _loaded(model) -> Low:
+    """A worker's model, built once from the broadcast (name, keys, counts); one at a time is kept."""
+    name, blob = model.value
+    if name not in _low:
+        _low.clear()
+        _low[name] = Low(*pickle.loads(blob))
+    return _low[name]
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
@@ -184,7 +190,7 @@ def gram_bucket(keys: np.ndarray, order: int, buckets: int) -> np.ndarray:
     return (R.mix(keys >> _U(8 * (order - 2))) % _U(buckets)).astype(np.int64)
 
 
-def gram_log10(keys: np.ndarray, counts: np.ndarray, order: int, low: Pretrained) -> np.ndarray:
+def gram_log10(keys: np.ndarray, counts: np.ndarray, order: int, low: Low) -> np.ndarray:
     """log10 probabilities of sorted distinct grams with their training counts, about GRAM_SLICE at once.
 
     For a context of three bytes all grams must be there, and are in one slice.
@@ -198,16 +204,11 @@ def gram_log10(keys: np.ndarray, counts: np.ndarray, order: int, low: Pretrained
     return out
 
 
-def _slice_log10(keys: np.ndarray, counts: np.ndarray, order: int, low: Pretrained) -> np.ndarray:
-    """gram_log10 of a slice.
-
-    The followers of a context are among those of its shorter ones, so what an escape excludes is a
-    sum and a number for each context.
-    """
-    symbol = (keys & _U(255)).astype(np.int64)
-    near = (keys >> _U(8 * order)).astype(np.int64)
-    row = low.row[(keys >> _U(8 * (order - 1)) & _U(255)).astype(np.int64) << 8 | near]
-    held, at = [], np.arange(len(keys))  # of each order: counts, and totals, kinds and excluded sums of the context
+def _slice_log10(keys: np.ndarray, counts: np.ndarray, order: int, low: Low) -> np.ndarray:
+    """gram_log10 of a slice: sums by context of each order, and the low orders below."""
+    near = (keys >> _U(8 * order) & _U(255)).astype(np.int64)
+    trigram = (keys >> _U(8 * (order - 1)) & _U(255)).astype(np.int64) << 16 | near << 8 | (keys & _U(255)).astype(np.int64)
+    held, at = [], np.arange(len(keys))
     level, n = keys, counts.astype(np.float64)
     for k in range(order, 2, -1):
         _, context = np.unique(level >> _U(8), return_inverse=True)
@@ -218,52 +219,13 @@ def _slice_log10(keys: np.ndarray, counts: np.ndarray, order: int, low: Pretrain
         else:
             first = np.zeros(len(level), np.int64)
             first[at] = np.arange(len(keys))  # a key of each gram
-            under = low.counts[row[first], symbol[first]]
+            under = low.count(trigram[first])
         seen = n > 0
         total, kinds, out = (np.bincount(context, weights=w) for w in (n, seen, under * seen))
         held.append((n[at], total[context][at], kinds[context][at], out[context][at]))
         if k > 3:
             level, n, at = shorter, below, up[at]
-    held.append((low.counts[row, symbol], low.total[row], low.kinds[row], None))
-    p, open_, gone, gone_kinds = np.ones(len(keys)), np.ones(len(keys), bool), 0.0, 0.0
-    for n, total, kinds, out in held:
-        left, weight = kinds - gone_kinds, total - gone + kinds - gone_kinds
-        here = open_ & (left > 0)
-        found = here & (n > 0)
-        p *= np.where(here, np.where(found, n, left) / np.where(here, weight, 1), 1)
-        open_ &= ~found
-        gone, gone_kinds = out, kinds
-    return np.log10(np.where(open_, p * low.tail[row, symbol], p))
-
-
-def _deltas(sorted_: np.ndarray) -> bytes:
-    d = np.diff(sorted_, prepend=_U(0))
-    return _planes(d)
-
-
-def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _unplane(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-
-
-def _sums(blob: bytes) -> np.ndarray:
-    return np.cumsum(_unplane(blob), dtype=np.uint64)
-
-
-def _cuts(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    edges = np.array([-(-(k << bits) // buckets) for k in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
-
-MESSAGE = "bucket int, block int, a binary, b binary"
-_MESSAGE = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-
-
-def _messages(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_MESSAGE)], schema=_MESSAGE)
+    return _escaping(held + low.levels(trigram))
 
 
 def is_held_out(ids: np.ndarray) -> np.ndarray:
@@ -278,10 +240,6 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.insert(h, R.first_of(n)[1:], END), n + 1
 
 
-#: Parts that trigrams are summed in.
-TRIGRAM_BUCKETS = 16
-
-
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys, summed counts, place of each part's keys among them)."""
     keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
@@ -290,7 +248,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _trigram_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's training trigrams, in buckets."""
+    """A task's training trigrams with their counts."""
     parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
     for batch in batches:
         for part in R.chunks(batch, size=GRAM_CHUNK):
@@ -299,14 +257,7 @@ def _trigram_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             keys, counts = np.unique(trigrams(data, off)[np.repeat(learns, np.diff(off))], return_counts=True)
             parts.append((keys.astype(np.uint64), counts.astype(np.uint64)))
         parts = [_merged(parts)[:2]]
-    keys, total = parts[0]
-    cuts = _cuts(keys, 24, TRIGRAM_BUCKETS)
-    yield from _messages([(k, -2, _deltas(keys[a:b]), _planes(total[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]).to_batches()
-
-
-def _trigram_sums(table: pa.Table) -> pa.Table:
-    keys, total, _ = _merged([(_sums(a), _unplane(b)) for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True)])
-    return _messages([(table.column("bucket")[0].as_py(), -2, _deltas(keys), _planes(total))])
+    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in parts[0]], names=["trigram", "times"])
 
 
 def _learn(buckets: int, order: int):
@@ -327,12 +278,11 @@ def _learn(buckets: int, order: int):
                 sent.append((keys, np.bincount(place, weights=np.repeat(learns, np.diff(off)), minlength=len(keys))))
         words, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         counts = np.bincount(inverse, weights=np.concatenate(train), minlength=len(words)).astype(np.uint64)
-        cuts = _cuts(words, 64, buckets)
-        out = [(k, block, _deltas(words[a:b]), _planes(counts[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        out = [(k, block, X.deltas(words[a:b]), X.planes(counts[a:b])) for k, a, b in X.ranges(words, 64, buckets)]
         if sent:
             keys, total, _ = _merged(sent)
-            out += [(buckets + k, block, _deltas(x), _planes(c)) for k, x, c in R.by_bucket(gram_bucket(keys, order, buckets), keys, total)]
-        return _messages(out)
+            out += [(buckets + k, block, X.deltas(x), X.planes(c)) for k, x, c in R.by_bucket(gram_bucket(keys, order, buckets), keys, total)]
+        return X.messages(out)
 
     return run
 
@@ -342,18 +292,18 @@ def _count(buckets: int, order: int, model):
         """A bucket's corpus counts, or its grams' log10 probabilities, back to each block; totals of words as block -1."""
         bucket = table.column("bucket")[0].as_py()
         sizes = [len(x.as_py()) // 8 for x in table.column("a")]
-        distinct, total, inverse = _merged([(_sums(a.as_py()), _unplane(b.as_py())) for a, b in zip(table.column("a"), table.column("b"), strict=True)])
+        distinct, total, inverse = _merged([(X.sums(a.as_py()), X.unplane(b.as_py())) for a, b in zip(table.column("a"), table.column("b"), strict=True)])
         out, at = [], 0
         if bucket < buckets:
             out.append((bucket, -1, R.pack(np.array([(total > 0).sum(), total.sum()], np.uint64)), b""))
             back = total[inverse]
         else:
-            back = gram_log10(distinct, total, order, Pretrained(*pickle.loads(model.value)))[inverse]
+            back = gram_log10(distinct, total, order, _loaded(model))[inverse]
         for block, size in zip(table.column("block").to_pylist(), sizes, strict=True):
             mine = back[at : at + size]
-            out.append((bucket, block, _planes(mine) if bucket < buckets else np.ascontiguousarray(mine.view(np.uint8).reshape(-1, 4).T).tobytes(), b""))
+            out.append((bucket, block, X.planes(mine) if bucket < buckets else np.ascontiguousarray(mine.view(np.uint8).reshape(-1, 4).T).tobytes(), b""))
             at += size
-        return _messages(out)
+        return X.messages(out)
 
     return run
 
@@ -369,10 +319,9 @@ def _score(model, buckets: int, order: int):
         got = dict(zip(replies.column("bucket").to_pylist(), replies.column("a").to_pylist(), strict=True))
         parts = [(part, *_word_hashes(*R.buffers(part.column("text")))) for part in R.chunks(docs, size=GRAM_CHUNK)]
         words, inverse = np.unique(np.concatenate([h for _, h, _ in parts]), return_inverse=True)
-        cuts, corpus = _cuts(words, 64, buckets), np.zeros(len(words), np.uint64)
-        for bucket, a in got.items():
-            if bucket < buckets:
-                corpus[cuts[bucket] : cuts[bucket + 1]] = _unplane(a)
+        corpus = np.zeros(len(words), np.uint64)
+        for bucket, a, b in X.ranges(words, 64, buckets):
+            corpus[a:b] = X.unplane(got[bucket])
         counts = corpus[inverse].astype(np.float64)
         if order > 2:
             named = []
@@ -383,8 +332,6 @@ def _score(model, buckets: int, order: int):
             log10 = np.zeros(len(keys))
             for bucket, places in R.by_bucket(gram_bucket(keys, order, buckets), np.arange(len(keys))):
                 log10[places] = np.ascontiguousarray(np.frombuffer(got[buckets + bucket], np.uint8).reshape(4, -1).T).view(np.float32).ravel()
-        else:
-            trained = Pretrained(*pickle.loads(model.value))
         out, at = [], 0
         for k, (part, h, n) in enumerate(parts):
             mine = counts[at : at + len(h)]
@@ -393,11 +340,13 @@ def _score(model, buckets: int, order: int):
             ids = part.column("doc").to_numpy()
             data, off = R.buffers(part.column("text"))
             if order > 2:
-                total = np.zeros(len(data) + 1)
-                np.cumsum(log10[np.searchsorted(keys, named[k][0])][named[k][1]], out=total[1:])
-                scores = total[off[1:]] - total[off[:-1]]
+                log = log10[np.searchsorted(keys, named[k][0])][named[k][1]]
             else:
-                scores = trained.score(data, off)
+                mine3, place = np.unique(trigrams(data, off).astype(np.int64), return_inverse=True)
+                log = _loaded(model).log10(mine3)[place] if len(data) else np.zeros(0)
+            total = np.zeros(len(data) + 1)
+            np.cumsum(log, out=total[1:])
+            scores = total[off[1:]] - total[off[:-1]]
             out.append((ids, is_held_out(ids), n, np.add.reduceat(mine > 0, first[:-1], dtype=np.int64), np.add.reduceat(np.log10(mine + ALPHA), first[:-1]), scores))
         return pa.Table.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(6)], schema=_SCORED)
 
@@ -408,15 +357,13 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", order: int = 2)
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; order: 2 to 7 bytes of context."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc is not null")
-    blocks = block_count(docs)
-    buckets = max(partitions(spark), -(-blocks // BLOCKS_PER_BUCKET))
-    seen = docs.mapInArrow(_trigram_parts, MESSAGE).groupBy("bucket").applyInArrow(_trigram_sums, MESSAGE).select("a", "b").collect()
-    keys = np.concatenate([np.zeros(0, np.uint64), *(_sums(r.a) for r in seen)]).astype(np.int64)
-    counts = np.concatenate([np.zeros(0, np.uint64), *(_unplane(r.b) for r in seen)]).astype(np.float64)
-    model = spark.sparkContext.broadcast(pickle.dumps((keys, counts)))
-    held = docs.withColumn("block", block_of("doc", blocks))
-    sent = held.groupBy("block").applyInArrow(_learn(buckets, order), MESSAGE)
-    counted = written(sent.groupBy("bucket").applyInArrow(_count(buckets, order, model), MESSAGE), "counts")
+    blocks, buckets = layout(docs)
+    seen = docs.mapInArrow(_trigram_parts, "trigram bigint, times bigint").groupBy("trigram").agg(F.sum("times").alias("times")).orderBy("trigram").toArrow()  # at most 2**24 rows
+    low = pickle.dumps((seen.column("trigram").to_numpy(), seen.column("times").to_numpy().astype(np.float64)))
+    model = spark.sparkContext.broadcast((uuid.uuid4().hex, low))
+    held = docs.withColumn("block", block_of(blocks, "doc", "text"))
+    sent = held.groupBy("block").applyInArrow(_learn(buckets, order), X.MESSAGE)
+    counted = written(sent.groupBy("bucket").applyInArrow(_count(buckets, order, model), X.MESSAGE), "counts")
     totals = [R.unpack(r.a, "u8")[0] for r in counted.filter("block = -1").select("a").toLocalIterator()]
     kinds, tokens = (sum(int(t[i]) for t in totals) for i in (0, 1))
     scored = held.groupBy("block").cogroup(counted.filter("block >= 0").groupBy("block")).applyInArrow(_score(model, buckets, order), SCORED)

@@ -88,13 +88,13 @@ def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def groups(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, group start flags, size of the group at each place) of equal (text, h)."""
-    key = (text.astype(np.uint64) << np.uint64(52)) | (h >> np.uint64(12))
-    order = np.argsort(key)
-    key = key[order]
+def groups(counts: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, group start flags, size of the group at each place) of equal hashes within each text of `counts` items."""
+    order = R.order_within(h, counts)
+    text = np.repeat(np.arange(len(counts)), counts)
+    key = h[order]
     new = np.ones(len(order), bool)
-    new[1:] = key[1:] != key[:-1]
+    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
     size = np.diff(np.append(np.flatnonzero(new), len(order)))
     return order, new, np.repeat(size, size)
 
@@ -110,11 +110,11 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     l_start, l_end, n_lines = R.words(data, offsets, _NOT_NEWLINE)
     has = np.searchsorted(starts, l_end) > np.searchsorted(starts, l_start)
     l_text = np.repeat(np.arange(texts), n_lines)[has]
-    order, new, _ = groups(l_text, R.span_hash(data, l_start, l_end)[has])
+    order, new, _ = groups(np.bincount(l_text, minlength=texts), R.span_hash(data, l_start, l_end)[has])
     out["n_dup_lines"] = np.bincount(l_text[order[~new]], minlength=texts)
 
-    w_text, w_start = R.window_starts(n_words, 5)
-    order, _, size = groups(w_text, R.window_hash(h, w_start, 5))
+    _, w_start = R.window_starts(n_words, 5)
+    order, _, size = groups(np.maximum(n_words - 4, 0), R.window_hash(h, w_start, 5))
     cover = np.zeros(len(starts) + 1, np.int64)
     again = w_start[order[size > 1]]
     np.add.at(cover, again, 1)

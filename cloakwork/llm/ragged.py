@@ -7,6 +7,7 @@ is an empty range.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +18,13 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 2 << 20
 CHUNK_ROWS = 4096
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE2 = np.uint64(0xD6E8FEB86659FD93)
 _U = np.uint64
+#: Two seeds: hashes under both together have 128 bits.
+SEED, SEED2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+#: Spans of more bytes are hashed by blake2b, one by one.
+LONG_SPAN = 256
+#: The bytes of a lane of eight that are kept where so many are left.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def space_table() -> np.ndarray:
@@ -33,43 +38,64 @@ NOT_SPACE = space_table()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
+    """A 64-bit finaliser, one to one: every input bit reaches every output bit."""
     x = x ^ (x >> _U(33))
-    x = x * _U(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> _U(33))
-    x = x * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
-
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls up to a few chunks."""
-    got = _powers.get(int(base))
-    if got is None or len(got) < n:
-        size = max(n, 1 << 16)
-        got = np.full(size, base, np.uint64)
-        got[0] = 1
-        np.multiply.accumulate(got, out=got)
-        if size <= 4 * CHUNK_BYTES:
-            _powers[int(base)] = got
-    return got[:n]
-
-
-def inverse(base: np.uint64) -> np.uint64:
-    return _U(pow(int(base), -1, 1 << 64))
-
-
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
-    """A polynomial hash of values[start:end] for each pair, equal for equal content wherever it stands."""
-    n = len(values)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + _U(1)) * powers(base, n), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(inverse(base), n + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _U(0xA0761D6478BD642F))
+    x *= _U(0xFF51AFD7ED558CCD)
+    x ^= x >> _U(33)
+    x *= _U(0xC4CEB9FE1A85EC53)
+    x ^= x >> _U(33)
+    return x
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.uint64 = SEED) -> np.ndarray:
+    """A 64-bit hash of the bytes data[start:end] for each pair.
+
+    Lanes of eight bytes are mixed in one after another, so nothing in the hash is linear in the
+    content; spans of equal length up to eight bytes never collide.
+    """
+    starts, length = np.asarray(starts, np.int64), np.asarray(ends, np.int64) - starts
+    h = mix(length.astype(np.uint64) * _U(0xA0761D6478BD642F) ^ seed)
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    live, at = np.flatnonzero((length > 0) & (length <= LONG_SPAN)), 0
+    while len(live):
+        left = length[live] - at
+        h[live] = mix(h[live] ^ (lanes[starts[live] + at] & _LEFT[np.minimum(left, 8)]))
+        live, at = live[left > 8], at + 8
+    long = np.flatnonzero(length > LONG_SPAN)
+    if len(long):
+        raw, key = memoryview(np.ascontiguousarray(data)), int(seed).to_bytes(8, "little")
+        h[long] = [int.from_bytes(hashlib.blake2b(raw[s : s + n], digest_size=8, key=key).digest(), "little") for s, n in zip(starts[long].tolist(), length[long].tolist(), strict=True)]
+    return h
+
+
+def _joined(left: np.ndarray, right: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """A hash of two hashes, in this order."""
+    return mix(left * _U(0x9FB21C651E98DF25) + mix(right ^ seed))
+
+
+def window_hash(items: np.ndarray, starts: np.ndarray, n: int, seed: np.uint64 = SEED2) -> np.ndarray:
+    """Hashes of items[start:start+n]: those of 1, 2, 4 ... items, of which n is made up."""
+    starts = np.asarray(starts, np.int64)
+    out, done, size, level = None, 0, 1, items
+    while size <= n and len(starts):
+        if n & size:
+            part = level[starts + done]
+            out = mix(part + _U(n * int(seed) & 0xFFFFFFFFFFFFFFFF)) if out is None else _joined(out, part, seed)
+            done += size
+        if 2 * size <= n:
+            level = _joined(level[:-size], level[size:], seed)
+        size *= 2
+    return np.zeros(0, np.uint64) if out is None else out
+
+
+def order_within(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The order that sorts the values of each text, texts one after another."""
+    out, first = np.empty(len(values), np.int64), first_of(counts)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b > a:
+            out[a:b] = values[a:b].argsort()
+            out[a:b] += a
+    return out
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +160,6 @@ def window_starts(counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return text, np.arange(many.sum()) - np.repeat(first_of(many)[:-1], many) + first[text]
 
 
-def window_hash(items: np.ndarray, starts: np.ndarray, n: int, base: np.uint64 = BASE2) -> np.ndarray:
-    """Hashes of items[start:start+n]."""
-    return span_hash(items, starts, starts + n, base)
-
-
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     upper = (data >= 65) & (data <= 90)
     return np.where(upper, data | 32, data)

@@ -13,16 +13,18 @@ enough of them; level 0, the words themselves, always has.
 1. Blocks of documents send the distinct tuple names they hold; names seen twice
    anywhere come back as a mask. Unique text ends here.
 2. Windows with a shared name are verified: blocks send the first place of each
-   such window (a 96-bit hash of its words); all but the earliest come back.
+   such window (two independent 64-bit hashes of its words' bytes, which stand for
+   the content); all but the earliest come back.
 3. Words covered by a window that also starts earlier are cut.
 
 A block sends a name or window once however many copies it holds, so a group of
-copies costs its reducer a row for each block, not for each copy. Every reply
-is for one block of BLOCK_DOCS documents; nothing is collected or broadcast.
+copies costs its reducer a row for each block, not for each copy. Blocks are sized by
+bytes; nothing is collected or broadcast.
 
 Nulls and odd input: a null or empty text has no words and stays as it is; rows
 with a null id are left out, since no order is defined for them; rows that repeat an id
-are the same place, not an earlier one, and each row comes back; an empty table
+are the same place, not an earlier one, and each row comes back; a very long text or word is
+whole in one block, whose task holds some fifty times its bytes; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -33,17 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange as X
 from . import ragged as R
-from .cluster import block_count, block_of, partitions
+from .cluster import block_of, layout
 
 WINDOW = 20
 #: Interior symbols in a tuple, by level.
 TUPLE = (10, 6, 4)
-#: Blocks whose names meet in one bucket: a bucket's size is fixed, their number grows.
-BLOCKS_PER_BUCKET = 8
 #: Bits of a name that are sent; more would only spare a few needless verifications.
 NAME_BITS = 44
-_PLACE = np.uint64((1 << 28) - 1)
+#: Bits of a symbol's place in its block.
+_PLACE = np.uint64((1 << 32) - 1)
 _U = np.uint64
 
 
@@ -108,7 +110,7 @@ def window_names(words: np.ndarray, counts: np.ndarray, window: int = WINDOW) ->
         mine, todo = todo[fits], todo[~fits]
         if len(mine):
             at = np.arange(len(sym) - m + 1)
-            key = R.span_hash(sym, at, at + m, R.BASE2 + _U(2 * level))
+            key = R.window_hash(sym, at, m, R.SEED2 + _U(2 * level))
             best = _smallest((key & ~_PLACE) | at.astype(np.uint64), lo[mine], hi[mine] - lo[mine] - m + 1)
             found = (best & _PLACE).astype(np.int64)
             name[mine], place[mine] = key[found], found * len(TUPLE) + level
@@ -127,37 +129,12 @@ def _words(table: pa.Table, second: bool = False):
         s, e, n = R.words(data, off)
         one.append(R.span_hash(data, s, e))
         if second:
-            two.append(R.span_hash(data, s, e, R.BASE2))
+            two.append(R.span_hash(data, s, e, R.SEED2))
         counts.append(n)
     z = np.zeros(0, np.uint64)
     return np.concatenate([z, *one]), np.concatenate([z, *two]), np.concatenate([np.zeros(0, np.int64), *counts])
 
 
-def _deltas(sorted_: np.ndarray) -> bytes:
-    """Sorted numbers as differences, byte plane by byte plane: high planes are zero and compress away."""
-    d = np.diff(sorted_, prepend=_U(0))
-    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _sums(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def _bucket_cuts(names: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """Where each bucket of equal ranges begins in sorted names."""
-    edges = np.array([-(-(k << bits) // buckets) for k in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(names, edges), [len(names)]])
-
-
-MESSAGE = "bucket int, block int, a binary, b binary"
-_MESSAGE = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-
-
-def _messages(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_MESSAGE)], schema=_MESSAGE)
-
-
 def _send_names(buckets: int, window: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -166,15 +143,14 @@ def _send_names(buckets: int, window: int):
         head = np.ones(len(names), bool)
         head[1:] = place[1:] != place[:-1]
         names, places = np.unique(names[head] >> _U(64 - NAME_BITS), return_counts=True)
-        cuts = _bucket_cuts(names, NAME_BITS, buckets)
-        return _messages([(k, block, _deltas(names[a:b]), np.packbits(places[a:b] > 1).tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
+        return X.messages([(k, block, X.deltas(names[a:b]), np.packbits(places[a:b] > 1).tobytes()) for k, a, b in X.ranges(names, NAME_BITS, buckets)])
 
     return run
 
 
 def _share_names(table: pa.Table) -> pa.Table:
     """For each block the mask of its names that another block, or the block itself, holds again."""
-    sent = [_sums(x.as_py()) for x in table.column("a")]
+    sent = [X.sums(x.as_py()) for x in table.column("a")]
     twice = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(s)).astype(np.int64) for x, s in zip(table.column("b"), sent, strict=True)]
     names = np.concatenate(sent)
     order = np.argsort(names)
@@ -187,62 +163,58 @@ def _share_names(table: pa.Table) -> pa.Table:
     for bucket, block, s in zip(table.column("bucket").to_pylist(), table.column("block").to_pylist(), sent, strict=True):
         out.append((bucket, block, np.packbits(mask[at : at + len(s)]).tobytes(), b""))
         at += len(s)
-    return _messages(out)
+    return X.messages(out)
 
 
 def _send_windows(buckets: int, window: int, id_column: str):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows or not replies.num_rows:
-            return _messages([])
+            return X.messages([])
         block, docs = docs.column("block")[0].as_py(), _block(docs, id_column)
         h, h2, counts = _words(docs, second=True)
         text, start, name, _ = window_names(h, counts, window)
         names, inverse = np.unique(name >> _U(64 - NAME_BITS), return_inverse=True)
-        cuts = _bucket_cuts(names, NAME_BITS, buckets)
         shared = np.zeros(len(names), bool)
-        for bucket, mask in zip(replies.column("bucket").to_pylist(), replies.column("a").to_pylist(), strict=True):
-            a, b = cuts[bucket], cuts[bucket + 1]
-            shared[a:b] = np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a)
+        masks = dict(zip(replies.column("bucket").to_pylist(), replies.column("a").to_pylist(), strict=True))
+        for bucket, a, b in X.ranges(names, NAME_BITS, buckets):
+            shared[a:b] = np.unpackbits(np.frombuffer(masks[bucket], np.uint8), count=b - a)
         pick = np.flatnonzero(shared[inverse])
         if not len(pick):
-            return _messages([])
-        one, two = R.window_hash(h, start[pick], window), R.window_hash(h2, start[pick], window, R.BASE) >> _U(32)
-        ids = docs.column(id_column).to_numpy()[text[pick]]
-        order = np.lexsort((start[pick], two, one))  # texts are in id order, so places are too
-        one, two, ids, place = one[order], two[order], ids[order], start[pick][order]
+            return X.messages([])
+        place = start[pick]
+        one, two = R.window_hash(h, place, window), R.window_hash(h2, place, window, R.SEED)
+        ids, within = docs.column(id_column).to_numpy()[text[pick]], place - R.first_of(counts)[text[pick]]
+        order = np.lexsort((within, ids, two, one))
+        one, two, ids, within, place = one[order], two[order], ids[order], within[order], place[order]
         head = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
-        group = np.cumsum(head) - 1
-        first_word = R.first_of(counts)[text[pick]][order]
-        within = place - first_word
-        lead = np.flatnonzero(head)
-        again = (ids != ids[lead][group]) | (within != within[lead][group])  # the same place twice is not earlier
+        lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+        again = (ids != ids[lead]) | (within != within[lead])  # the same place twice is not earlier
         out = [(buckets, block, np.sort(place[again]).astype(np.uint32).tobytes(), b"")]
         keep = ~again  # the first place, and rows that repeat it
-        one, two, ids, place = one[keep], two[keep], ids[keep], place[keep]
-        cuts = _bucket_cuts(one >> _U(64 - NAME_BITS), NAME_BITS, buckets)
-        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if b > a:
-                out.append((k, block, _deltas(one[a:b]), R.pack(two[a:b].astype(np.uint32), ids[a:b].astype(np.int64), place[a:b].astype(np.uint32))))
-        return _messages(out)
+        one, two, ids, within, place = one[keep], two[keep], ids[keep], within[keep], place[keep]
+        for k, a, b in X.ranges(one >> _U(64 - NAME_BITS), NAME_BITS, buckets):
+            out.append((k, block, X.deltas(one[a:b]), R.pack(two[a:b], ids[a:b].astype(np.int64), within[a:b].astype(np.uint32), place[a:b].astype(np.uint32))))
+        return X.messages(out)
 
     return run
 
 
 def _earliest(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        """For each block the places whose window starts in a smaller document too."""
+        """For each block the places whose window starts earlier too: in a smaller document, or further ahead in the same."""
         if table.column("bucket")[0].as_py() == buckets:  # known within the block already
             return table
-        one = [_sums(x.as_py()) for x in table.column("a")]
-        two, ids, place = R.unpack_all(table.column("b").to_pylist(), "u4", "i8", "u4")
+        one = [X.sums(x.as_py()) for x in table.column("a")]
+        two, ids, within, place = R.unpack_all(table.column("b").to_pylist(), "u8", "i8", "u4", "u4")
         owner = np.repeat(np.arange(len(one)), [len(x) for x in one])
         one = np.concatenate(one)
-        order = np.lexsort((ids, two, one))
-        one, two, ids = one[order], two[order], ids[order]
+        order = np.lexsort((within, ids, two, one))
+        one, two, ids, within = one[order], two[order], ids[order], within[order]
         head = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
-        later = order[ids != ids[np.flatnonzero(head)][np.cumsum(head) - 1]]
+        lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+        later = order[(ids != ids[lead]) | (within != within[lead])]
         blocks = table.column("block").to_pylist()
-        return _messages([(0, blocks[k], np.sort(places).tobytes(), b"") for k, places in R.by_bucket(owner[later], place[later])])
+        return X.messages([(0, blocks[k], np.sort(places).tobytes(), b"") for k, places in R.by_bucket(owner[later], place[later])])
 
     return run
 
@@ -282,16 +254,14 @@ def _cut(window: int, id_column: str, schema: pa.Schema):
 
 def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """(id, n_words, n_removed, kept_text): words of windows that start earlier too are removed, judged on the input."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias(id_column), F.col("text").cast("string").alias("text")).filter(F.col(id_column).isNotNull())
-    blocks = block_count(docs)
-    buckets = max(partitions(spark), -(-blocks // BLOCKS_PER_BUCKET))
-    held = docs.withColumn("block", block_of(id_column, blocks))
-    names = held.groupBy("block").applyInArrow(_send_names(buckets, window), MESSAGE)
-    shared = names.groupBy("bucket").applyInArrow(_share_names, MESSAGE)
-    windows = held.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_windows(buckets, window, id_column), MESSAGE)
+    blocks, buckets = layout(docs)
+    held = docs.withColumn("block", block_of(blocks, id_column, "text"))
+    names = held.groupBy("block").applyInArrow(_send_names(buckets, window), X.MESSAGE)
+    shared = names.groupBy("bucket").applyInArrow(_share_names, X.MESSAGE)
+    windows = held.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_windows(buckets, window, id_column), X.MESSAGE)
     # what is known within a block goes back as it is, dealt by block
     dealt = windows.withColumn("deal", F.when(F.col("bucket") == buckets, F.col("block") + buckets).otherwise(F.col("bucket")))
-    later = dealt.groupBy("deal").applyInArrow(lambda t: _earliest(buckets)(t.drop_columns(["deal"])), MESSAGE)
+    later = dealt.groupBy("deal").applyInArrow(lambda t: _earliest(buckets)(t.drop_columns(["deal"])), X.MESSAGE)
     schema = pa.schema([(id_column, pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
     return held.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(_cut(window, id_column, schema), f"`{id_column}` bigint, n_words bigint, n_removed bigint, kept_text string")

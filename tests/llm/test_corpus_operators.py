@@ -21,6 +21,12 @@ def words(n, v=V):
     return [r.choice(v) for _ in range(n)]
 
 
+def layout_of(d, per_block):
+    """Blocks of so many rows, and a few buckets."""
+    blocks = max(1, -(-d.count() // per_block))
+    return blocks, max(3, blocks // 8)
+
+
 def corpus():
     base = words(400)
     texts = [None, "", "  \n", "one two", " ".join(words(19)), " ".join(words(20))]
@@ -48,7 +54,7 @@ def plain_dedup(texts, n=20):
 @pytest.mark.parametrize("per_block", [4, 512])
 def test_substring_dedup_equals_brute_force(spark, monkeypatch, per_block):
     texts = corpus()
-    monkeypatch.setattr(substring_dedup, "block_count", lambda d: max(1, -(-d.count() // per_block)))
+    monkeypatch.setattr(substring_dedup, "layout", lambda d: layout_of(d, per_block))
     d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, "a", "x")], "doc_id long, text string, n_words string")
     got = {x.doc_id: (x.n_words, x.n_removed, x.kept_text) for x in substring_dedup.dedup_substrings(d).collect()}
     assert got == dict(enumerate(plain_dedup(texts)))
@@ -73,6 +79,22 @@ def test_equal_windows_have_equal_names():
         assert by.setdefault(h[s : s + 20].tobytes(), n) == n
 
 
+NEAR_PERIODIC = [bytes(97 + (bin(i).count("1") + k) % 2 for i in range(2048)).decode() for k in (0, 1)]
+
+
+def test_near_periodic_words_are_told_apart(spark):
+    """Thue-Morse words collide under every polynomial hash modulo a power of two."""
+    same = " ".join(f"t{i}" for i in range(19))
+    d = spark.createDataFrame([(i, f"{same} {w}") for i, w in enumerate(NEAR_PERIODIC)], "doc_id long, text string")
+    assert {x.n_removed for x in substring_dedup.dedup_substrings(d).collect()} == {0}
+    few = spark.createDataFrame([(i, f"a b c d {w}") for i, w in enumerate(NEAR_PERIODIC)], "doc_id long, text string")
+    assert sorted(x.component_id for x in ngram_join.near_duplicates(few).collect()) == [0, 1]
+    bits = [" ".join("pq"[(bin(i).count("1") + k) % 2] for i in range(n)) for n in (64, 128, 256, 300) for k in (0, 1)]
+    e = spark.createDataFrame(list(enumerate(bits)), "doc_id long, text string")
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_text) for x in substring_dedup.dedup_substrings(e).collect()} == dict(enumerate(plain_dedup(bits)))
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.near_duplicates(e).collect()} == dict(enumerate(plain_components(bits)))
+
+
 def plain_components(texts):
     sets = []
     for t in texts:
@@ -114,7 +136,7 @@ def near_corpus():
 @pytest.mark.parametrize("per_block", [16, 512])
 def test_ngram_join_equals_brute_force(spark, monkeypatch, per_block):
     texts = near_corpus()
-    monkeypatch.setattr(ngram_join, "block_count", lambda d: max(1, -(-d.count() // per_block)))
+    monkeypatch.setattr(ngram_join, "layout", lambda d: layout_of(d, per_block))
     d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "a", 1)], "doc_id long, text string, n int")
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.near_duplicates(d).collect()}
     assert got == dict(enumerate(plain_components(texts)))
@@ -130,7 +152,7 @@ def test_ngram_join_odd_tables(spark):
 @pytest.mark.parametrize("per_block", [5, 512])
 def test_lm_score_equals_plain_models(spark, monkeypatch, per_block):
     texts = corpus() + ["Ünï😀", "\x00\x01", "z" * 500]
-    monkeypatch.setattr(lm_score, "block_count", lambda d: max(1, -(-d.count() // per_block)))
+    monkeypatch.setattr(lm_score, "layout", lambda d: layout_of(d, per_block))
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
     tokens = [[*re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split(), "END"] for t in texts]
     c = Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
@@ -153,7 +175,7 @@ def test_lm_score_equals_plain_models(spark, monkeypatch, per_block):
 @pytest.mark.parametrize("per_block", [5, 512])
 def test_longer_contexts_equal_the_plain_model(spark, monkeypatch, per_block):
     texts = corpus() + ["Ünï😀", "\x00\x01\x00", "z" * 500, "\x00" * 9, "new grams 123"]
-    monkeypatch.setattr(lm_score, "block_count", lambda d: max(1, -(-d.count() // per_block)))
+    monkeypatch.setattr(lm_score, "layout", lambda d: layout_of(d, per_block))
     trie = lm_score.ByteTrie(lm_score.ORDER)
     for i, t in enumerate(texts):
         if zlib.crc32(str(i).encode()) % 10:
