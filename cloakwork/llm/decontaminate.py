@@ -3,22 +3,24 @@
 The test items, as word numbers, are put into one suffix automaton. A document's
 words then stream through it while the longest match that ends at each word is
 tracked: where it reaches a window's length, the window occurs there and its
-words are hit. An automaton is built per block of items of BLOCK_WORDS words at most, so
-what a task holds is bounded however many items there are; all blocks run
-over each document in one pass, a block of automata at a time.
+words are hit. An automaton is built per shard of items of about SHARD_WORDS words (an item is never
+split), and each shard is a broadcast of its own. The driver holds one while it builds it, and a
+worker LOADED at a time: with more, it takes documents GROUP_BYTES together and leads them
+through one shard after another.
 
 Only runs of words whose neighbours also stand side by side in some item are
 streamed: outside them no match can reach a window's length.
 
 Nulls and odd input: a null or empty text or item has no words; an item with no
 words has no window; equal items are all reported; items with a null id are
-left out; repeated documents are judged row by row; empty tables give no hits or
-an empty result; other columns are ignored.
+left out; repeated documents are judged row by row; a very long text is one chunk, a very long item
+one shard; empty tables give no hits or an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 from . import ragged as R
 
 WINDOW = 10
-#: Item words in one automaton (about 1 KB of memory a word).
-BLOCK_WORDS = 100_000
+#: Item words in one automaton (about 1 KB of memory a word, and 0.1 KB as it is sent).
+SHARD_WORDS = 100_000
+#: Shards that a worker keeps, and bytes of text that are led through the shards together where there are more.
+LOADED, GROUP_BYTES = 2, 32 << 20
 
 
 def _word_table() -> np.ndarray:
@@ -148,30 +152,20 @@ class Automaton:
                     yield i, n, [k]
 
 
-class Blocks:
-    """Automata of all items, with the word pairs that decide what is streamed."""
+class Shard:
+    """The automaton of some items, with the word pairs that decide what is streamed."""
 
     def __init__(self, items: list[tuple[str, np.ndarray]], window: int = WINDOW):
-        items = [x for x in items if len(x[1])]
-        self.window, self.least = window, min([window, *(len(w) for _, w in items)])
-        self.vocabulary = np.unique(np.concatenate([w for _, w in items])) if items else np.zeros(0, np.uint64)
+        self.least = min([window, *(len(w) for _, w in items)])
+        self.vocabulary = np.unique(np.concatenate([w for _, w in items]))
         number = [(name, np.searchsorted(self.vocabulary, w).tolist()) for name, w in items]
         self.pairs = np.unique(np.array([a << 32 | b for _, w in number for a, b in zip(w, w[1:], strict=False)], np.int64))
-        self.automata, block, size = [], [], 0
-        for x in number:
-            if block and size + len(x[1]) > BLOCK_WORDS:
-                self.automata.append(Automaton(block, window))
-                block, size = [], 0
-            block.append(x)
-            size += len(x[1])
-        if block:
-            self.automata.append(Automaton(block, window))
-
-    def find(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[set]]:
-        """(hit flag of each word, items of each text)."""
-        hit, found = np.zeros(len(hashes), bool), [set() for _ in counts]
-        if not self.automata or not len(hashes):
-            return hit, found
+        self.automaton = Automaton(number, window)
+
+    def find(self, hashes: np.ndarray, counts: np.ndarray, hit: np.ndarray, found: list[set]) -> None:
+        """Adds to the hit flag of each word and the items of each text."""
+        if not len(hashes):
+            return
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         known = self.vocabulary[at] == hashes
         text = np.repeat(np.arange(len(counts)), counts)
@@ -184,71 +178,115 @@ class Blocks:
             joined[:] = False
         starts = np.flatnonzero(known & ~np.append(False, joined))
         ends = np.flatnonzero(known & ~np.append(joined, False)) + 1
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            if e - s < self.least:
-                continue
-            run = at[s:e].tolist()
-            for a in self.automata:
-                for end, n, items in a.run(run):
-                    hit[s + end - n : s + end] = True
-                    found[text[s]].update(a.items[k] for k in items)
-        return hit, found
-
-
-def item_blocks(benchmark: DataFrame, item_column: str = "item_id", window: int = WINDOW) -> Blocks:
-    """The automata of a benchmark. Items are a stated query set: the driver reads them; documents never come here."""
-    rows = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("item is not null").orderBy("item", "text").toArrow()
-    out = []
-    for part in R.chunks(rows):
-        h, _, _, n = hashed_words(*R.buffers(part.column("text")))
-        out += zip(part.column("item").to_pylist(), np.split(h, R.first_of(n)[1:-1]), strict=True)
-    return Blocks(out, window)
+        long = ends - starts >= self.least
+        for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+            for end, n, items in self.automaton.run(at[s:e].tolist()):
+                hit[s + end - n : s + end] = True
+                found[text[s]].update(self.automaton.items[k] for k in items)
+
+
+def shards_of(benchmark: DataFrame, item_column: str = "item_id", window: int = WINDOW) -> Iterator[Shard]:
+    """The automata of a benchmark. Items are a stated query set that the driver reads a partition at a time; documents never come here."""
+    rows = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("item is not null")
+    held, size = [], 0
+    for row in rows.toLocalIterator():
+        data = np.frombuffer((row.text or "").encode(), np.uint8)
+        words = hashed_words(data, np.array([0, len(data)]))[0]
+        if not len(words):
+            continue
+        if held and size + len(words) > SHARD_WORDS:
+            yield Shard(held, window)
+            held, size = [], 0
+        held.append((row.item, words))
+        size += len(words)
+    if held:
+        yield Shard(held, window)
+
+
+_loaded: dict[str, Shard] = {}
+
+
+def _shard(held) -> Shard:
+    name, blob = held.value
+    if name not in _loaded:
+        while len(_loaded) >= LOADED:
+            del _loaded[next(iter(_loaded))]
+        _loaded[name] = pickle.loads(blob)
+    return _loaded[name]
+
+
+def _sent(benchmark: DataFrame, item_column: str, window: int) -> list:
+    """A broadcast for each shard."""
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast((uuid.uuid4().hex, pickle.dumps(s))) for s in shards_of(benchmark, item_column, window)]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list]:
+    """Chunks of batches, about `size` bytes together."""
+    held, total = [], 0
+    for batch in batches:
+        for part in R.chunks(batch):
+            held.append(part)
+            total += part.nbytes
+            if total >= size:
+                yield held
+                held, total = [], 0
+    if held:
+        yield held
+
+
+def _hits(batches: Iterator[pa.RecordBatch], sent: list, at: int) -> Iterator[tuple]:
+    """(chunk, word starts, word ends, words of each text, hit flags, items of each text) of column `at`."""
+    for group in _grouped(batches, GROUP_BYTES if len(sent) > LOADED else 1):
+        state = []
+        for part in group:
+            h, s, e, n = hashed_words(*R.buffers(part.column(at)))
+            state.append((part, h, s, e, n, np.zeros(len(h), bool), [set() for _ in n]))
+        for held in sent:
+            shard = _shard(held)
+            for _, h, _, _, n, hit, found in state:
+                shard.find(h, n, hit, found)
+        for part, _, s, e, n, hit, found in state:
+            yield part, s, e, n, hit, found
 
 
-_loaded: dict[int, Blocks] = {}
-
 FOUND = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _found(blocks: Blocks, column, clean: bool = False):
-    data, off = R.buffers(column)
-    h, s, e, n = hashed_words(data, off)
-    hit, items = blocks.find(h, n)
-    first = R.first_of(n)
+def _spans(hit: np.ndarray, first: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The ranges of hit words of each text."""
+    out = []
     cut = R.first_of(hit.astype(np.int64))
-    n_hit = cut[first[1:]] - cut[first[:-1]]
-    spans, kept = [], []
-    for i in range(len(n)):
-        where = []
-        if n_hit[i]:
-            f = hit[first[i] : first[i + 1]]
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], f, [False]]).astype(np.int8)))
-            where = [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-        spans.append([{"start": a, "end": b} for a, b in where])
-        if clean and where:
-            raw, at, out = data[off[i] : off[i + 1]].tobytes(), 0, []
-            for a, b in where:
-                lo, hi = s[first[i] + a] - off[i], e[first[i] + b - 1] - off[i]
-                out.append(raw[at:lo])
-                at = hi
-            kept.append(b"".join([*out, raw[at:]]).decode("utf-8", "ignore"))
-        else:
-            kept.append(None)
-    return n, n_hit, [sorted(x) for x in items], spans, kept
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if cut[b] == cut[a]:
+            out.append([])
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], hit[a:b], [False]]).astype(np.int8)))
+        out.append(list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)))
+    return out
+
+
+def _cut(text: bytes, spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) -> str:
+    """text without the words of spans; starts and ends are those of its words in it."""
+    out, at = [], 0
+    for a, b in spans:
+        out.append(text[at : starts[a]])
+        at = ends[b - 1]
+    return b"".join([*out, text[at:]]).decode()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", item_column: str = "item_id", window: int = WINDOW) -> DataFrame:
     """(id, n_words, n_hit, items, spans): words hit, the items that occur and the hit word ranges."""
-    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(item_blocks(benchmark, item_column, window)))
+    sent = _sent(benchmark, item_column, window)
     source = docs.select(id_column, F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = pickle.loads(held.value)
-        for batch in batches:
-            for part in R.chunks(batch):
-                n, n_hit, items, spans, _ = _found(blocks, part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)], names=[id_column, "n_words", "n_hit", "items", "spans"])
+        for part, _, _, n, hit, found in _hits(batches, sent, 1):
+            first = R.first_of(n)
+            spans = [[{"start": a, "end": b} for a, b in x] for x in _spans(hit, first)]
+            n_hit = np.diff(R.first_of(hit.astype(np.int64))[first])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(n_hit), pa.array([sorted(x) for x in found], pa.list_(pa.string())), pa.array(spans, _SPANS)], names=[id_column, "n_words", "n_hit", "items", "spans"])
 
     kind = source.schema[id_column].dataType.simpleString()
     return source.mapInArrow(run, f"`{id_column}` {kind}, {FOUND}")
@@ -256,17 +294,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, item_column: str = "item_id", window: int = WINDOW, max_share: float = 0.5) -> DataFrame:
     """docs with hit spans cut out of text; a document with more than max_share of its words hit goes as a whole."""
-    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(item_blocks(benchmark, item_column, window)))
+    sent = _sent(benchmark, item_column, window)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = pickle.loads(held.value)
-        for batch in batches:
-            for part in R.chunks(batch):
-                n, n_hit, _, _, kept = _found(blocks, part.column(at), clean=True)
-                text = [k if h else t for k, h, t in zip(kept, n_hit, part.column(at).to_pylist(), strict=True)]
-                columns = list(part.columns)
-                columns[at] = pa.array(text, pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names).filter(pa.array(n_hit <= max_share * n))
+        for part, s, e, n, hit, _ in _hits(batches, sent, at):
+            first, (_, off) = R.first_of(n), R.buffers(part.column(at))
+            n_hit = np.diff(R.first_of(hit.astype(np.int64))[first])
+            text = part.column(at).to_pylist()
+            for i, spans in enumerate(_spans(hit, first)):
+                if spans:
+                    mine = slice(first[i], first[i + 1])
+                    text[i] = _cut(text[i].encode(), spans, s[mine] - off[i], e[mine] - off[i])
+            columns = list(part.columns)
+            columns[at] = pa.array(text, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names).filter(pa.array(n_hit <= max_share * n))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,18 +1,20 @@
 """Token counts by rank-synchronous merging of ragged numpy arrays.
 
-A BPE piece model is applied to many pre-tokens at once: their symbols lie in
+A BPE piece model is applied to many sequences at once: their symbols lie in
 one flat array, and each step merges the lowest-rank pair of every sequence
-together. Pre-tokens end before a white space mark, since no piece holds one
-after another character; equal pre-tokens are merged once and remembered.
+together, all its occurrences in the sequence at once. Pre-tokens end before a white space mark, since
+no piece holds one after another character; equal pre-tokens are merged once and remembered by their
+bytes. A pre-token is cut into sequences where two neighbouring characters stand together in no piece:
+no merge can cross such a place.
 
 Nulls and odd input: a null or empty text has no bytes and no tokens; rows are
 independent, so repeated rows, repeated ids and null ids are counted as they
-stand; an empty table gives an empty result; other columns are ignored.
+stand; a very long text or word goes the same way as any other: a step costs the symbols that still
+merge; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,10 +27,8 @@ from pyspark.sql import functions as F
 from . import ragged as R
 
 MARK = "▁"
-#: Pre-tokens with more symbols are merged one by one with a heap: the same merges, in n log n.
-LONG = 2048
-#: Pre-tokens whose counts a worker remembers; beyond, it starts anew.
-REMEMBER = 1_500_000
+#: Pre-tokens whose counts a worker remembers, and the bytes of one at most; beyond, it starts anew.
+REMEMBER, LONGEST = 1_000_000, 64
 _NONE = np.int64(1) << 40
 
 
@@ -70,13 +70,16 @@ class PieceModel:
         self.safe = np.zeros(len(levels) + 1, bool)
         for p, r in rank.items():
             self.safe[r] = r not in tied and best.get(self.names[p], _NONE) > r
+        #: Symbols beyond which two merges can't meet: what a merge sets off at lower ranks is one growing piece around it.
+        self.reach = 2 * max(map(len, pieces), default=1) + 2
         #: Symbol of each code point, and the tokens that a symbol left over counts as.
         self.symbol = np.full(0x110000, self.unknown, np.int32)
         for c in chars:
             self.symbol[ord(c)] = self.names[c]
         self.in_vocabulary = np.zeros(self.unknown + 1, bool)
         self.in_vocabulary[[self.names[p] for p in pieces]] = True
-        self.table = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys, self.ranks, self.merged, strict=True)}
+        #: Characters that stand side by side in some piece, as symbols.
+        self.beside = np.unique(np.array([self.names[a] << 32 | self.names[b] for p in pieces for a, b in zip(p, p[1:], strict=False)] or [0], np.int64))
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left.astype(np.int64) << 32 | right
@@ -88,12 +91,13 @@ class PieceModel:
         sym = self.symbol[points].astype(np.int64)
         size = np.where(self.in_vocabulary[sym], 1, np.where(points < 0x80, 1, np.where(points < 0x800, 2, np.where(points < 0x10000, 3, 4))))
         total = np.zeros(len(lengths), np.int64)
-        seq = np.repeat(np.arange(len(lengths)), lengths)
-        first = R.first_of(lengths)
-        for i in np.flatnonzero(lengths > LONG):
-            total[i] = self._long(sym[first[i] : first[i + 1]].tolist(), size[first[i] : first[i + 1]].tolist())
-        stay = (lengths <= LONG)[seq]
-        sym, size, seq = sym[stay], size[stay], seq[stay]
+        token = np.repeat(np.arange(len(lengths)), lengths)
+        if not len(sym):
+            return total
+        key = sym[:-1] << 32 | sym[1:]
+        near = self.beside[np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)] == key
+        seq = np.cumsum(np.append(True, ~near | (token[1:] != token[:-1]))) - 1
+        owner = token[np.append(True, seq[1:] != seq[:-1])]
         while len(sym):
             rank, at = self.pair_ranks(sym[:-1], sym[1:])
             rank[seq[:-1] != seq[1:]] = _NONE
@@ -103,7 +107,7 @@ class PieceModel:
             spans = np.diff(np.append(heads, len(sym)))
             done = np.repeat(low == _NONE, spans)
             if done.any():  # nothing more to merge in these
-                total += np.bincount(seq[done], weights=size[done], minlength=len(total)).astype(np.int64)
+                total += np.bincount(owner[seq[done]], weights=size[done], minlength=len(total)).astype(np.int64)
                 keep = ~done
                 sym, size, seq, rank = sym[keep], size[keep], seq[keep], rank[keep]
                 at = np.append(at, 0)[keep]
@@ -116,7 +120,8 @@ class PieceModel:
             hit = rank == np.repeat(low, spans)
             where = np.flatnonzero(hit)
             group = seq[where]
-            leftmost = np.append(True, group[1:] != group[:-1])
+            # of a rank that isn't safe: the first in its sequence, and those too far from the one before to meet it
+            leftmost = np.append(True, (group[1:] != group[:-1]) | (np.diff(where) > self.reach))
             run = np.append(True, (np.diff(where) != 1) | (np.diff(group) != 0))  # of hits side by side
             nth = np.arange(len(where)) - np.flatnonzero(run)[np.cumsum(run) - 1]
             take = where[leftmost | (self.safe[rank[where]] & (nth % 2 == 0))]
@@ -126,32 +131,6 @@ class PieceModel:
             sym, size, seq = sym[gone], size[gone], seq[gone]
         return total
 
-    def _long(self, sym: list[int], size: list[int]) -> int:
-        """The same merges for one sequence, leftmost lowest rank first, by a heap over linked symbols."""
-        n = len(sym)
-        left, right, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        heap = []
-
-        def offer(i):
-            j = right[i]
-            if j >= 0 and (got := self.table.get(sym[i] << 32 | sym[j])):
-                heapq.heappush(heap, (got[0], i, sym[i], sym[j], got[1]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = right[i] if alive[i] else -1
-            if j < 0 or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], size[i], alive[j], right[i] = m, 1, False, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            offer(i)
-            if left[i] >= 0:
-                offer(left[i])
-        return sum(s for s, a in zip(size, alive, strict=True) if a)
-
 
 _models: dict[str, tuple[PieceModel, dict]] = {}
 
@@ -180,18 +159,18 @@ def count_texts(column, path: str) -> np.ndarray:
     cut[off[:-1][off[:-1] < off[1:]]] = True
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], len(data))
-    h, index, inverse = np.unique(R.span_hash(data, starts, ends), return_index=True, return_inverse=True)
-    got = [known.get(x, -1) for x in h.tolist()]
-    counts = np.array(got, np.int64)
+    _, index, inverse = np.unique(R.span_hash(data, starts, ends), return_index=True, return_inverse=True)
+    raw = data.tobytes()
+    spelt = [raw[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
+    counts = np.array([known.get(x, -1) for x in spelt], np.int64)
     new = np.flatnonzero(counts < 0)
     if len(new):
-        raw = data.tobytes()
-        texts = [raw[starts[i] : ends[i]].decode().replace(" ", MARK) for i in index[new]]
+        texts = [spelt[i].decode().replace(" ", MARK) for i in new]
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         counts[new] = model.counts(points, np.array([len(t) for t in texts]))
         if len(known) + len(new) > REMEMBER:
             known.clear()
-        known.update(zip(h[new].tolist(), counts[new].tolist(), strict=True))
+        known.update((spelt[i], c) for i, c in zip(new.tolist(), counts[new].tolist(), strict=True) if len(spelt[i]) <= LONGEST)
     total = R.first_of(counts[inverse])
     at = np.searchsorted(starts, off)
     return total[at[1:]] - total[at[:-1]]

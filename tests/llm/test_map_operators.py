@@ -72,14 +72,23 @@ def test_token_count_equals_the_library(spark, docs):
     assert token_count.count_tokens(d.limit(0), tokenizer_path()).count() == 0
 
 
-def test_long_merges_equal_short_ones():
-    m = token_count._model(tokenizer_path())[0]
-    for _ in range(200):
-        t = "".join(r.choice("ab the.▁=") for _ in range(r.randrange(1, 60)))
-        sym = [int(m.symbol[ord(c)]) for c in t]
-        import numpy as np
-
-        assert m._long(sym, [1] * len(sym)) == m.counts(np.array([ord(c) for c in t]), np.array([len(t)]))[0]
+def test_long_words_equal_the_library(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    long = ["a" * 300_000, "=" * 70_000, "ab" * 50_000, "".join(r.choice(letters[:12]) for _ in range(60_000)), "".join(r.choice(letters + letters.upper() + "0123456789+/") for _ in range(200_000)), "\u65e5\u672c\u8a9e" * 30_000, "internationalization" * 3000]
+    d = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    assert {x.doc_id: x.n_tokens for x in token_count.count_tokens(d, tokenizer_path()).collect()} == {i: len(sp.encode(t)) for i, t in enumerate(long)}
+
+
+def test_shards_equal_one_automaton(spark, docs, monkeypatch):
+    items = [(k, t) for k, t in enumerate(TEXTS) if t]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = {x.doc_id: x for x in decontaminate.find_contamination(docs, b).collect()}
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 100)
+    assert len(list(decontaminate.shards_of(b))) > decontaminate.LOADED
+    assert {x.doc_id: x for x in decontaminate.find_contamination(docs, b).collect()} == want
 
 
 def test_secret_base_spans(spark):
