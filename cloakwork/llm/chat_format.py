@@ -13,9 +13,10 @@ Nulls and odd input: a null text or role is empty; a record of an unknown layout
 or with broken JSON has null turns and layout 'unknown' and stays in the result; JSON too large
 to be parsed is an error;
 no turns give an empty string; turns with equal numbers are ordered by role, then
-text; repeated rows are turns of their own; rows with a null conversation id form one
-conversation; an empty table gives an empty result; other columns are ignored.
-A conversation is one output string, so one conversation is what a task must hold.
+text; repeated rows are turns of their own; a row with a null conversation id is a
+conversation of its own; an empty table gives an empty result; other columns are ignored.
+A conversation is one output string, so one conversation is what a task must hold; a text may be as long as
+a string can be.
 """
 
 from __future__ import annotations
@@ -48,11 +49,13 @@ EMPTY = {"OBJECT<messages: ARRAY<VOID>>": "messages", "OBJECT<conversations: ARR
 
 #: A variant has at most 2**27 bytes, up to four a byte of JSON: what gives none from here on may be whole JSON.
 LARGE_JSON = 1 << 25
+#: The parser's own limit on a string is 20,000,000 characters.
+LONG_STRINGS = {"maxStringLen": str((1 << 31) - 1)}
 
 
 def fingerprint(record: Column) -> Column:
     """A hash of the record's nested field paths; leaf types don't take part, except for empty lists."""
-    parsed = F.try_parse_json(record)
+    parsed = F.from_json(record, "variant", LONG_STRINGS)
     size = F.octet_length(record)
     too_large = F.concat(F.lit("chat record of "), size.cast("string"), F.lit(" bytes of JSON is broken or too large to be parsed; give it as a struct"))
     parsed = F.coalesce(parsed, F.when(size >= LARGE_JSON, F.raise_error(too_large).cast("variant")))
@@ -89,7 +92,7 @@ def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
         here = F.col("fingerprint").isin(hashes)
         named = F.when(here, name).otherwise(named)
         parsed = f"`__{name}`"
-        marked = marked.withColumn(f"__{name}", F.when(here, F.from_json(F.col(column), schema)))
+        marked = marked.withColumn(f"__{name}", F.when(here, F.from_json(F.col(column), schema, LONG_STRINGS)))
         turns = F.when(here, F.expr(expression.replace("r.", f"{parsed}.").replace(f"o{parsed}.", "or."))).otherwise(turns)
     return marked.select(*[c for c in records.columns if c not in (column, "layout", "turns")], named.alias("layout"), turns.cast(TURNS).alias("turns"))
 
@@ -142,7 +145,8 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 def records_of_rows(rows: DataFrame) -> DataFrame:
     """(conv_id, record): a table with a row for each turn, as structs in the messages layout."""
     turn = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("sorted"))
+    known = rows.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("sorted"))
+    grouped = known.union(rows.filter("conv_id is null").select("conv_id", F.array(turn)))
     return grouped.select("conv_id", F.struct(F.transform("sorted", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages")).alias("record"))
 
 

@@ -24,7 +24,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    mixed = mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), carry=["doc_id"])
     return mixed.select("doc_id", "n_tokens", *[f"p_{d}" for d in mixing.DOMAINS], "rate", "copies")
 
 

@@ -48,8 +48,8 @@ def _escaped(column: str) -> str:
 
 
 CHAT_FORMAT = f"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]')
+WITH c AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, NULL, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
 CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-CAST(sum(length('<|im_start|>') + length(replace({_escaped("role")}, chr(10), '<\\;>')) + 1 + length({_escaped("text")}) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+CAST(sum(length('<|im_start|>') + length(replace({_escaped("role")}, chr(10), '<\\;>')) + 1 + length({_escaped("text")}) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id, alone"""

@@ -205,6 +205,9 @@ def test_chats_read_back(spark):
     d = chat_format.format_chats(chat_format.records_of_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
     got = d.select("conv_id", "layout", "formatted", chat_format.read_back(F.col("formatted")).alias("back"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
     assert len(got) == len(CHATS)
+    alone = chat_format.records_of_rows(spark.createDataFrame([(None, 1, "user", "a"), (None, 1, "user", "a"), (4, 1, None, None)], "conv_id long, turn long, role string, text string"))
+    assert sorted((x.conv_id or 0, x.n) for x in alone.select("conv_id", F.size("record.messages").alias("n")).collect()) == [(0, 1), (0, 1), (4, 1)]
+    assert chat_format.format_chats(alone.limit(0)).count() == 0
     for x in got:
         want = [(role or "", text or "") for role, text in CHATS[x.conv_id]]
         assert [tuple(t) for t in x.back] == want and x.layout == "messages"
@@ -238,6 +241,9 @@ def test_chats_over_the_variant_limit(spark):
     rows = spark.range(136, numPartitions=8).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat('x', 1048576) AS text")
     got = chat_format.format_chats(chat_format.records_of_rows(rows)).select("layout", F.size("turns").alias("n"), F.length("formatted").alias("chars"), F.size("loss_spans").alias("spans")).first()
     assert (got.layout, got.n, got.spans) == ("messages", 136, 68) and got.chars > 136 << 20
+    long = spark.range(1).select(F.concat(F.lit('{"prompt":"q","response":"'), F.repeat(F.lit("x"), 25_000_000), F.lit('"}')).alias("record"))
+    x = chat_format.format_chats(long).select("layout", F.length("formatted").alias("chars"), F.length(F.col("turns")[1]["text"]).alias("text")).first()
+    assert x.layout == "prompt_response" and x.text == 25_000_000 < x.chars
     large = spark.range(1).select(F.concat(F.lit('{"prompt":"q","response":"'), F.repeat(F.lit("x"), 1 << 27), F.lit('"}')).alias("record"))
     with pytest.raises(Exception, match="too large to be parsed"):
         chat_format.canonical_turns(large).select("layout").collect()
@@ -282,27 +288,59 @@ def test_html_keeps_every_slot_without_an_article():
 def test_toxic_documents_go_whatever_their_share(spark, toxic):
     rows = [(i, 0.98, 0.02, 0.0) for i in range(4000)] + [(9000 + i, 0.0005, 0.0005, 0.999) for i in range(toxic)]
     scored = spark.createDataFrame([(i, 100, *p) for i, *p in rows], "doc_id long, n_tokens long, p_good double, p_low double, p_toxic double")
-    steps = mixing.fit_rates(scored, mixing.TARGETS)
-    copies = {x.doc_id: x.copies for x in scored.withColumn("copies", F.round(mixing.rate_after(steps, mixing.TARGETS))).collect()}
-    assert {copies[i] for i in range(4000)} == {1} and {copies[9000 + i] for i in range(toxic)} == {0}
+    steps, _, met = mixing.fit_rates(scored, mixing.TARGETS)
+    rates = {x.doc_id: x.r for x in scored.withColumn("r", mixing.rate_after(steps, mixing.TARGETS)).collect()}
+    assert met and min(rates[i] for i in range(4000)) >= 0.999 and {rates[9000 + i] for i in range(toxic)} == {0}
+
+
+def plain_fit(n, p, targets, budget, steps=60_000):
+    """The totals that plain projected gradient steps on the rates themselves come to."""
+    aimed = np.array(targets) > 0
+    cap = np.full(len(n), np.inf)
+    for k in np.flatnonzero(~aimed):
+        cap = np.minimum(cap, np.where(p[:, k] > 0.5, 0, np.divide(1 - p[:, k], p[:, k], out=np.full(len(n), np.inf), where=p[:, k] > 0)))
+    a = (p * n[:, None])[:, aimed] / budget
+    t, rate = np.array(targets)[aimed], np.minimum(1.0, cap)
+    step = 1 / np.linalg.eigvalsh(a.T @ a)[-1]
+    for _ in range(steps):
+        rate = np.clip(rate - step * (a @ (a.T @ rate - t)), 0, cap)
+    return a.T @ rate
+
+
+@pytest.mark.parametrize("targets", [(0.98, 0.02, 0.0), (0.5, 0.3, 0.2), (0.2, 0.8, 0.0), (0.05, 0.05, 0.9)])
+def test_rates_equal_plain_projected_gradient(spark, targets):
+    g = np.random.default_rng(3)
+    p = g.dirichlet([0.5, 0.3, 0.2], 300)
+    p[:150] = [0.97, 0.02, 0.01]
+    n = g.integers(1, 400, 300)
+    scored = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(300)], "doc_id long, n_tokens long, p_good double, p_low double, p_toxic double")
+    aim = dict(zip(mixing.DOMAINS, targets, strict=True))
+    steps, budget, met = mixing.fit_rates(scored, aim)
+    rate = np.array([x.r for x in scored.withColumn("r", mixing.rate_after(steps, aim)).orderBy("doc_id").collect()])
+    got = ((p * n[:, None]).T @ rate / budget)[np.array(targets) > 0]
+    assert rate.min() >= 0 and (not met or np.abs(got - np.array(targets)[np.array(targets) > 0]).max() <= 2 * mixing.TOLERANCE)
+    assert np.abs(got - plain_fit(n.astype(float), p, targets, budget)).max() < 2e-3
 
 
 def test_mixing_meets_targets(spark):
     docs, labels = [], []
-    for i in range(600):
+    for i in range(3000):
         kind = ("good", "good", "good", "low", "toxic")[i % 5]
         w = words(50)
         w[::10] = {"good": ["fine"] * 5, "low": ["spam1", "spam2", "spam1", "spam2", "x"], "toxic": ["idiot", "scum", "trash", "idiot", "scum"]}[kind]
         docs.append((i, " ".join(w), 1.0))
         if i % 2:
             labels.append((i, int(kind != "low"), int(kind == "toxic")))
-    d = spark.createDataFrame([*docs, (900, None, 1.0), (901, "", 1.0), (None, "fine day", 1.0)], "doc_id long, text string, rate double")
-    lab = spark.createDataFrame([*labels, (None, 1, 0), (5, None, None), (7777, 1, 0)], "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame([*docs, (9000, None, 1.0), (9001, "", 1.0), (None, "fine day", 1.0)], "doc_id long, text string, rate double")
+    lab = spark.createDataFrame([*labels, *labels[:9], (None, 1, 0), (5, None, None), (7777, 1, 0)], "doc_id long, quality int, toxic int")
     mixed = mixing.mix(d, lab, {"good": 0.7, "low": 0.3, "toxic": 0.0}).cache()
-    total = mixed.agg(F.sum("n_tokens")).first()[0]
-    got = mixed.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{k}") * F.col("rate")).alias(k) for k in mixing.DOMAINS]).first()
-    assert mixed.count() == 603 and mixed.filter("rate < 0").isEmpty()
-    assert abs(got.good / total - 0.7) < 0.02 and abs(got.low / total - 0.3) < 0.02 and got.toxic / total < 0.01
-    kept = {x.doc_id for x in mixed.filter("copies > 0").select("doc_id").collect()}
-    assert not any(i % 5 == 4 for i in kept if i is not None and i < 600) and {i for i in range(600) if i % 5 < 3} <= kept
-    assert mixing.mix(d.limit(0), lab).count() == 0 and mixing.mix(d, lab.limit(0)).filter("copies = 1").count() == 603
+    assert mixed.count() == 3003 and mixed.filter("rate < 0").isEmpty()
+    for weight in ("rate", "copies"):
+        got = mixed.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{k}") * F.col(weight)).alias(k) for k in mixing.DOMAINS]).first()
+        total = sum(got)
+        assert abs(got.good / total - 0.7) < 0.02 and abs(got.low / total - 0.3) < 0.02 and got.toxic / total < 0.001
+    rows = mixing.taken(mixed).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("last"), F.max("copies").alias("copies")).collect()
+    assert all(x.n == x.last == x.copies for x in rows)
+    kept = {x.doc_id for x in rows}
+    assert not any(i % 5 == 4 for i in kept if i is not None and i < 3000) and {i for i in range(3000) if i % 5 < 3} <= kept
+    assert mixing.mix(d.limit(0), lab).count() == 0 and mixing.mix(d, lab.limit(0)).filter("copies >= 1").count() == 3003

@@ -76,5 +76,6 @@ def test_stages_equal_plain_versions(spark):
     lost = [k for k in safe if k not in mixed and k in labels and labels[k].toxic == 0 and labels[k].quality == 1]
     assert len(lost) <= 0.02 * len(safe)
 
-    whole = {r.doc_id: r.text for r in corpus_pipeline.run(spark, SF).collect()}
-    assert whole == mixed
+    again = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id: r.text for r in again} == mixed
+    assert len(again) == sum(r.copies for r in {r.doc_id: r for r in again}.values())
