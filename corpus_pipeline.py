@@ -34,8 +34,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates that mix the domains to the targets; documents whose rate rounds to no copy go."""
-    return mixing.mix(docs, load(spark, sf_dir, "labels")).filter("copies > 0")
+    """Each document as many times as the mix to the targets takes it; those it doesn't take go."""
+    return mixing.taken(mixing.mix(docs, load(spark, sf_dir, "labels")))
 
 
 def with_length(docs: DataFrame) -> DataFrame:
