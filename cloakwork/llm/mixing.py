@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import written
+from .cluster import dropped, written
 
 DOMAINS = ("good", "low", "toxic")
 #: Shares of the expected tokens that are aimed at.
@@ -95,6 +95,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float]
 
     z = F.greatest(F.lit(0.0), *map(score, held))
     best = counted.withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").collect()  # of at most MAX_LABELLED rows
+    dropped(known)
     absent, odds = {}, {r["word"]: {} for r in best}
     for d in DOMAINS:
         n = sizes.get(d, 0)
@@ -169,6 +170,13 @@ def fit_rates(scored: DataFrame, targets: dict[str, float]) -> tuple[list[list[f
         r = profile.withColumn("r", rate_after(steps, targets)).agg(*[F.sum(F.col("n") * F.col("r") * x) for x in p]).first()
         return np.array([x or 0.0 for x in r])
 
+    try:
+        return _fit(profile, p, aimed, totals, targets)
+    finally:
+        dropped(profile)
+
+
+def _fit(profile: DataFrame, p: list[Column], aimed: np.ndarray, totals, targets: dict[str, float]) -> tuple[list[list[float]], float, bool]:
     size = profile.agg(F.sum("n"), *[F.sum(F.col("n") * x) for x in p]).first()
     if not size[0]:
         return [], 0.0, True

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import ragged as R
-from .cluster import block_of, layout, written
+from .cluster import block_of, dropped, layout, written
 
 WORDS = 5
 #: Similarity as a fraction, 75 / 100.
@@ -224,7 +224,9 @@ def verified(pairs: DataFrame, sets: DataFrame, n_pairs: int) -> DataFrame:
     small = n_pairs <= BROADCAST_PAIRS
     passed = join(pairs, small, "second", "third").filter(F.arrays_overlap("secondx", "secondy") & F.arrays_overlap("thirdx", "thirdy"))
     passed = written(passed.select("x", "y"), "passed")
-    return join(passed, small, "n", "ids").select("x", "y", "nx", "ny", "idsx", "idsy").mapInArrow(_verify, "x bigint, y bigint")
+    links = written(join(passed, small, "n", "ids").select("x", "y", "nx", "ny", "idsx", "idsy").mapInArrow(_verify, "x bigint, y bigint"), "links")
+    dropped(passed)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -232,19 +234,21 @@ def components(links: DataFrame) -> DataFrame:
     both = written(links.select("x", "y").union(links.select("y", "x")).distinct(), "edges")
     labels = written(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("label").alias("m"))
-        new = labels.join(near, labels.node == near.x).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("m"))
+        new = labels.select("node", "label").join(near, F.col("node") == F.col("x")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = written(new.join(jump, "label", "left").select("node", "old", F.coalesce("far", "label").alias("label")), "labels")
-        labels = new.select("node", "label")
+        new = written(new.join(jump, "label", "left").select("node", F.coalesce("far", "label").alias("label"), "old"), "labels")
+        dropped(labels)
+        labels = new
         if new.filter("old <> label").isEmpty():
+            dropped(both)
             return labels
 
 
 def _labelled(index: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return index.withColumn("label", F.col("doc"))
-    return index.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    return index.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
 
 
 def _overlap_can_reach(a: str, b: str):
@@ -285,10 +289,14 @@ def _contracted(labels: DataFrame | None, new: DataFrame) -> DataFrame:
         return components(new)
     for c in ("x", "y"):
         new = new.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
-    merged = components(new.select(F.col("lx").alias("x"), F.col("ly").alias("y")).filter("x <> y"))
+    table = components(new.select(F.col("lx").alias("x"), F.col("ly").alias("y")).filter("x <> y"))
+    merged = table.select("node", "label")
+    known = labels.select("node", "label")
     single = merged.select("node").join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
     told = merged.select(F.col("node").alias("label"), F.col("label").alias("far"))
-    return written(labels.union(single).join(told, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "labels")
+    out = written(known.union(single).join(told, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "labels")
+    dropped(table)
+    return out
 
 
 def similar_components(sets: DataFrame) -> DataFrame:
@@ -296,7 +304,8 @@ def similar_components(sets: DataFrame) -> DataFrame:
     flat = sets.select("doc", "n", F.explode(F.arrays_zip("token", "place")).alias("t")).select("doc", "n", F.col("t.token").alias("token"), F.col("t.place").alias("place"))
     often = flat.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select("token")
     index = written(flat.join(often, "token"), "index")
-    tested, labels = index.select(F.col("doc").alias("x"), F.col("doc").alias("y")).limit(0), None
+    none = index.select(F.col("doc").alias("x"), F.col("doc").alias("y")).limit(0)
+    tested, labels, tables = none, None, []
     while True:
         here = _labelled(index, labels)
         least = here.groupBy("token").agg(F.min(F.struct("label", "doc", "n", "place")).alias("m"))
@@ -305,21 +314,26 @@ def similar_components(sets: DataFrame) -> DataFrame:
         if labels is not None:
             met = met.join(tested, ["x", "y"], "left_anti")
         pairs = written(met.groupBy("x").agg(F.min(F.struct("ylabel", "y")).alias("m")).select("x", F.col("m.y").alias("y")), "pairs")
+        tables.append(pairs)
         n = pairs.count()
         if not n:
             break
-        new = written(verified(pairs, sets, n), "links")
+        links = verified(pairs, sets, n)
         tested = tested.union(pairs)
-        if new.isEmpty():
+        labels, last, found = (labels, None, False) if links.isEmpty() else (_contracted(labels, links), labels, True)
+        dropped(links, last)
+        if not found:
             break
-        labels = _contracted(labels, new)
     rest = written(_apart(_labelled(index, labels)).join(tested.union(tested.select("y", "x")), ["x", "y"], "left_anti"), "pairs")
     n = rest.count()
     if n:
-        new = written(verified(rest, sets, n), "links")
-        if not new.isEmpty():
-            return _contracted(labels, new)
-    return labels if labels is not None else index.select(F.col("doc").alias("node"), F.col("doc").alias("label")).limit(0)
+        links = verified(rest, sets, n)
+        labels, last = (labels, None) if links.isEmpty() else (_contracted(labels, links), labels)
+        dropped(links, last)
+    if labels is None:
+        labels = written(none.select(F.col("x").alias("node"), F.col("y").alias("label")), "labels")
+    dropped(*tables, rest, index)
+    return labels.select("node", "label")
 
 
 def candidate_sets(held: DataFrame, reps: DataFrame, buckets: int) -> DataFrame:
@@ -341,6 +355,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     sets = written(candidate_sets(held, classes.select("block", F.col("rep").alias("doc")).distinct(), buckets), "sets")
     # an id that is linked by one of its texts is linked as a whole
     labels = similar_components(sets).withColumnRenamed("node", "rep")
+    dropped(sets)
     # a class of many copies is dealt to SALTS tasks; classes of one row without links need no join
     known = classes.join(labels, "rep", "left").filter("rows > 1 OR label IS NOT NULL")
     known = known.select("n", "f1", "f2", F.coalesce("label", "rep").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

@@ -265,8 +265,8 @@ def test_html_main_text(spark):
     got = {x.page_id: x.text for x in html_extract.extract_main_text(d).collect()}
     assert got == {i: bodies[i % 4][1] for i in range(24)} | {90: "", 91: "", 92: "a < b"}
     assert html_extract.extract_main_text(d.limit(0)).count() == 0
-    template = html_extract.deduce_templates(d).filter("host = 'h.example'").first()
-    assert html_extract._hash("/html/body/nav") in template.tokens and html_extract._hash("/html/body/footer") in template.tokens
+    template = {t for x in html_extract.deduce_templates(d).filter("host = 'h.example'").collect() for t in x.tokens}
+    assert {html_extract.path_of("html", "body", "nav"), html_extract.path_of("html", "body", "footer")} <= template
 
 
 def test_html_template_reaches_into_articles(spark):
@@ -280,8 +280,118 @@ def test_html_template_reaches_into_articles(spark):
 def test_html_keeps_every_slot_without_an_article():
     body = "<div class='title'>Head</div><div class='lead'>Lead.</div><div class='body'><p>The long part.</p></div><div class='more'><p>End.</p></div>"
     assert html_extract.main_text(page(1, body)) == "Head\nLead.\nThe long part.\nEnd."
-    tags, blocks = html_extract.parse(page(1, "<div class='title'>Site</div>"))
-    assert html_extract.main_text(page(1, body.replace("Head", "Site")), set(html_extract.tokens_of(tags, blocks))) == "Lead.\nThe long part.\nEnd."
+    tokens, _ = html_extract.parse(page(1, "<div class='title'>Site</div>"))
+    assert html_extract.main_text(page(1, body.replace("Head", "Site")), [tokens]) == "Lead.\nThe long part.\nEnd."
+
+
+def site_pages():
+    """Pages of one host: blocks that stand everywhere, some that change places, some on part of the pages, and own text."""
+    out = []
+    for i in range(12):
+        box = [f"<div class=b{k}><p>box {k}</p></div>" for k in range(3)]
+        if i % 3 == 1:
+            box = box[::-1]
+        part = "<section><h2>part</h2><p>of pages</p></section>" if i % 4 else ""
+        again = "<i>x</i>" * (i % 3)
+        out.append(f"<html><body><div class=top>site</div>{''.join(box)}<div class=lead>{part}<p>own {i} {r.random()}</p></div>{again}<div class=end>bye</div></body></html>")
+    out[7] = out[7].replace("<div class=top>site</div>", "").replace("<div class=end>bye</div>", "<div class=end>bye</div><div class=top>site</div>")
+    return out
+
+
+def plain_run(places):
+    """The length of a longest increasing subsequence."""
+    best = []
+    for i, x in enumerate(places):
+        best.append(1 + max((b for b, y in zip(best, places[:i], strict=True) if y < x), default=0))
+    return max(best, default=0)
+
+
+def plain_templates(pages):
+    """Valid classes by the definitions, page by page."""
+    seqs = [list(dict.fromkeys(html_extract.parse(p)[0])) for p in pages]
+    times = [Counter(html_extract.parse(p)[0]) for p in pages]
+    vector = {t: tuple(c[t] for c in times) for c in times for t in c}
+    groups = {}
+    for t, v in vector.items():
+        if set(v) <= {0, 1} and sum(v) >= max(3, len(pages) / 2):
+            groups.setdefault(v, []).append(t)
+    classes = {}
+    for v, ts in groups.items():
+        if len(ts) >= 3:
+            ts.sort(key=lambda t: (sum(s.index(t) for s in seqs if t in s), t))
+            classes[min(ts)] = ts
+    stray, bad, gaps = {c: set() for c in classes}, set(), {}
+    for s in seqs:
+        runs = {}
+        for c, ts in classes.items():
+            if ts[0] in s:
+                mine = [s.index(t) for t in ts]
+                run = [t for k, t in enumerate(ts) if plain_run(mine[:k] + mine[k + 1 :]) < plain_run(mine)]
+                stray[c] |= set(ts) - set(run)
+                if run:
+                    runs[c] = run
+        for c, mine in runs.items():
+            for d, theirs in runs.items():
+                if c != d:
+                    where = {sum(s.index(x) < s.index(m) for x in theirs) for m in mine}
+                    back = {sum(s.index(x) < s.index(m) for x in mine) for m in theirs}
+                    if len(where) == 1:
+                        k = where.pop()
+                        if 0 < k < len(theirs):
+                            gaps.setdefault((c, d), set()).add(classes[d].index(theirs[k - 1]))
+                    elif len(back) > 1 and (len(mine), c) < (len(theirs), d):
+                        bad.add(c)
+    bad |= {c for (c, _), k in gaps.items() if len(k) > 1}
+    return {c: [t for t in ts if t not in stray[c]] for c, ts in classes.items() if c not in bad and len(ts) - len(stray[c]) >= 3}, stray, gaps
+
+
+def test_templates_equal_brute_force(spark):
+    pages = site_pages()
+    d = spark.createDataFrame([(i, "http://s.example/" + str(i), p, "clash") for i, p in enumerate(pages)], "page_id long, url string, html string, host string")
+    want, stray, gaps = plain_templates(pages)
+    rows = {x["class"]: x for x in html_extract.deduce_templates(d).collect()}
+    assert {c: list(x.tokens) for c, x in rows.items()} == want and any(stray.values())
+    for c, x in rows.items():
+        around = {e for (k, e), g in gaps.items() if k == c and e in want and len(g) == 1}
+        assert (x.parent is None) == (not around) and (x.parent is None or x.parent in around)
+    got = {x.page_id: x for x in html_extract.extract_main_text(d, slots=True).collect()}
+    for i, p in enumerate(pages):
+        template = {t for ts in want.values() for t in ts}
+        tokens, blocks = html_extract.parse(p)
+        assert got[i].text == "\n".join(b.text for b in blocks if tokens[b.place] not in template) and len(got[i].slots) == len(got[i].text.split("\n"))
+        assert got[i].text != html_extract.main_text(p)  # without a template, another result
+        assert f"own {i} " in got[i].text
+
+
+def test_templates_nest(spark):
+    inner = "<section><h2>Head</h2><p>note</p><p class=z>more</p></section>"
+    pages = [f"<html><body><div class=top>site</div><div class=lead>{inner if i % 4 else ''}<p>own {i}</p></div><div class=end>bye</div></body></html>" for i in range(12)]
+    rows = {len(x.tokens): x for x in html_extract.deduce_templates(spark.createDataFrame([(i, "http://s/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    outer, nested = rows[max(rows)], rows[min(rows)]
+    assert outer.parent is None and nested.parent == outer["class"] and html_extract.path_of("html", "body", "div.lead", "section") in nested.tokens
+    assert outer.tokens[nested.gap] == html_extract.path_of("html", "body", "div.lead", "p") or outer.tokens[nested.gap] == html_extract.path_of("html", "body", "div.lead")
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a "' * 250_000, '<a ">" ' * 150_000, "<svg>" * 200_000, "<!" * 500_000, "<b>" * 150_000 + "</i>" * 150_000, "<i>" + "<div>" * 100_000 + "</i>" * 100_000, "<p>" * 200_000, "<tr><td>" * 100_000, "<!--" * 250_000, "&" * 1_000_000], ids=range(11))
+def test_html_takes_linear_time(page):
+    import time
+    import tracemalloc
+
+    began = time.time()
+    html_extract.main_text(page)
+    assert time.time() - began < 2
+    tracemalloc.start()
+    html_extract.parse("<div>" * 100_000)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_html_odd_tables(spark):
+    rows = [(1, "http://h/", "<p>a</p>"), (1, "http://h/", "<p>a</p>"), (None, None, None), (2, "", "<div>deep " * 3000 + "x" * 300_000)]
+    d = spark.createDataFrame([(*x, "t", 1) for x in rows], "page_id long, url string, html string, text string, salt int")
+    got = html_extract.extract_main_text(d).collect()
+    assert sorted((x.page_id or 0, len(x.text)) for x in got) == [(0, 0), (1, 1), (1, 1), (2, 300_000 + 3000 * 5)]
+    assert html_extract.deduce_templates(d.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("toxic", [1, 40])
