@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text and documents of a block, on average: what one task holds of a co-grouped table at once.
-BLOCK_BYTES, BLOCK_DOCS = 2 << 20, 2048
+BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 1024
 #: Text whose names meet in one bucket, on average.
 BUCKET_BYTES = 8 << 20
 

@@ -45,3 +45,14 @@ def ranges(names: np.ndarray, bits: int, buckets: int) -> list[tuple[int, int, i
     bucket = (names >> _U(bits - 32)) * _U(buckets) >> _U(32)
     heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     return list(zip(bucket[heads].astype(np.int64).tolist(), heads.tolist(), [*heads[1:].tolist(), len(names)], strict=True))
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal lengths as planes."""
+    return b"".join(map(planes, columns))
+
+
+def unpack(blob: bytes, n: int) -> list[np.ndarray]:
+    """The n columns of pack()."""
+    size = len(blob) // n
+    return [unplane(blob[k * size : (k + 1) * size]) for k in range(n)]

@@ -46,6 +46,8 @@ TUPLE = (10, 6, 4)
 NAME_BITS = 44
 #: Bits of a symbol's place in its block.
 _PLACE = np.uint64((1 << 32) - 1)
+#: Windows that are named at once: their names do not depend on what stands around them.
+PIECE = 200_000
 _U = np.uint64
 
 
@@ -117,6 +119,23 @@ def window_names(words: np.ndarray, counts: np.ndarray, window: int = WINDOW) ->
     return text, start, name, place
 
 
+def _pieces(counts: np.ndarray, window: int):
+    """(first word, words per text) of pieces of about PIECE windows: runs of texts, and parts of long texts that overlap by a window."""
+    first, held, total = R.first_of(counts), [], 0
+    for text, n in enumerate(counts.tolist()):
+        if held and total + n > PIECE:
+            yield int(first[text - len(held)]), np.array(held, np.int64)
+            held, total = [], 0
+        if n > PIECE:
+            for at in range(0, n - window + 1, PIECE):
+                yield int(first[text]) + at, np.array([min(n - at, PIECE + window - 1)], np.int64)
+        else:
+            held.append(n)
+            total += n
+    if held:
+        yield int(first[len(counts) - len(held)]), np.array(held, np.int64)
+
+
 def _block(table: pa.Table, id_column: str) -> pa.Table:
     return table.sort_by([(id_column, "ascending"), ("text", "ascending")])
 
@@ -139,10 +158,13 @@ def _send_names(buckets: int, window: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         h, _, counts = _words(table)
-        _, _, names, place = window_names(h, counts, window)
-        head = np.ones(len(names), bool)
-        head[1:] = place[1:] != place[:-1]
-        names, places = np.unique(names[head] >> _U(64 - NAME_BITS), return_counts=True)
+        found = []
+        for lo, part in _pieces(counts, window):
+            _, _, names, place = window_names(h[lo : lo + part.sum()], part, window)
+            head = np.ones(len(names), bool)
+            head[1:] = place[1:] != place[:-1]
+            found.append(names[head] >> _U(64 - NAME_BITS))
+        names, places = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
         return X.messages([(k, block, X.deltas(names[a:b]), np.packbits(places[a:b] > 1).tobytes()) for k, a, b in X.ranges(names, NAME_BITS, buckets)])
 
     return run
@@ -172,18 +194,26 @@ def _send_windows(buckets: int, window: int, id_column: str):
             return X.messages([])
         block, docs = docs.column("block")[0].as_py(), _block(docs, id_column)
         h, h2, counts = _words(docs, second=True)
-        text, start, name, _ = window_names(h, counts, window)
-        names, inverse = np.unique(name >> _U(64 - NAME_BITS), return_inverse=True)
+        name, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for lo, part in _pieces(counts, window):
+            _, at, found, _ = window_names(h[lo : lo + part.sum()], part, window)
+            name.append(found >> _U(64 - NAME_BITS))
+            start.append(at + lo)
+        name, start = np.concatenate(name), np.concatenate(start)
+        names = np.unique(name)
         shared = np.zeros(len(names), bool)
         masks = dict(zip(replies.column("bucket").to_pylist(), replies.column("a").to_pylist(), strict=True))
         for bucket, a, b in X.ranges(names, NAME_BITS, buckets):
             shared[a:b] = np.unpackbits(np.frombuffer(masks[bucket], np.uint8), count=b - a)
-        pick = np.flatnonzero(shared[inverse])
-        if not len(pick):
+        names = names[shared]
+        if not len(names):
             return X.messages([])
-        place = start[pick]
+        place = start[names[np.minimum(np.searchsorted(names, name), len(names) - 1)] == name]
+        del name, start
+        first = R.first_of(counts)
+        text = np.searchsorted(first, place, "right") - 1
         one, two = R.window_hash(h, place, window), R.window_hash(h2, place, window, R.SEED)
-        ids, within = docs.column(id_column).to_numpy()[text[pick]], place - R.first_of(counts)[text[pick]]
+        ids, within = docs.column(id_column).to_numpy()[text], place - first[text]
         order = np.lexsort((within, ids, two, one))
         one, two, ids, within, place = one[order], two[order], ids[order], within[order], place[order]
         head = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
@@ -193,7 +223,7 @@ def _send_windows(buckets: int, window: int, id_column: str):
         keep = ~again  # the first place, and rows that repeat it
         one, two, ids, within, place = one[keep], two[keep], ids[keep], within[keep], place[keep]
         for k, a, b in X.ranges(one >> _U(64 - NAME_BITS), NAME_BITS, buckets):
-            out.append((k, block, X.deltas(one[a:b]), R.pack(two[a:b], ids[a:b].astype(np.int64), within[a:b].astype(np.uint32), place[a:b].astype(np.uint32))))
+            out.append((k, block, X.deltas(one[a:b]), X.pack(two[a:b], ids[a:b], within[a:b], place[a:b])))
         return X.messages(out)
 
     return run
@@ -205,7 +235,8 @@ def _earliest(buckets: int):
         if table.column("bucket")[0].as_py() == buckets:  # known within the block already
             return table
         one = [X.sums(x.as_py()) for x in table.column("a")]
-        two, ids, within, place = R.unpack_all(table.column("b").to_pylist(), "u8", "i8", "u4", "u4")
+        two, ids, within, place = (np.concatenate(c) for c in zip(*(X.unpack(x, 4) for x in table.column("b").to_pylist()), strict=True))
+        ids = ids.view(np.int64)
         owner = np.repeat(np.arange(len(one)), [len(x) for x in one])
         one = np.concatenate(one)
         order = np.lexsort((within, ids, two, one))
@@ -214,7 +245,7 @@ def _earliest(buckets: int):
         lead = np.flatnonzero(head)[np.cumsum(head) - 1]
         later = order[(ids != ids[lead]) | (within != within[lead])]
         blocks = table.column("block").to_pylist()
-        return X.messages([(0, blocks[k], np.sort(places).tobytes(), b"") for k, places in R.by_bucket(owner[later], place[later])])
+        return X.messages([(0, blocks[k], np.sort(places).astype(np.uint32).tobytes(), b"") for k, places in R.by_bucket(owner[later], place[later])])
 
     return run
 

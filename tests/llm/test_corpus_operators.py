@@ -60,11 +60,23 @@ def test_substring_dedup_equals_brute_force(spark, monkeypatch, per_block):
     assert got == dict(enumerate(plain_dedup(texts)))
 
 
+@pytest.mark.parametrize("piece", [25, 60, 200_000])
+def test_pieces_give_the_same_windows(monkeypatch, piece):
+    monkeypatch.setattr(substring_dedup, "PIECE", piece)
+    counts = np.array([0, 5, 20, 19, 300, 0, 24, 26, 25, 61, 21, 45, 44, 4])
+    h = ragged.mix(np.random.default_rng(1).integers(0, 9, counts.sum()).astype(np.uint64))
+    _, start, name, _ = substring_dedup.window_names(h, counts)
+    got = [(s + lo, n) for lo, part in substring_dedup._pieces(counts, 20) for _, s, n, _ in [substring_dedup.window_names(h[lo : lo + part.sum()], part)]]
+    assert np.array_equal(np.concatenate([g[0] for g in got]), start) and np.array_equal(np.concatenate([g[1] for g in got]), name)
+
+
 def test_substring_dedup_repeated_rows(spark):
     t = " ".join(f"u{i}" for i in range(30))
     d = spark.createDataFrame([(1, t), (1, t), (2, t)], "doc_id long, text string")
     got = sorted((x.doc_id, x.n_removed) for x in substring_dedup.dedup_substrings(d).collect())
     assert got == [(1, 0), (1, 0), (2, 30)]
+    later = spark.createDataFrame([(1, "a b " + t), (1, t)], "doc_id long, text string")
+    assert sorted(x.n_removed for x in substring_dedup.dedup_substrings(later).collect()) == [0, 30]
     assert substring_dedup.dedup_substrings(d.limit(0)).count() == 0
 
 
