@@ -30,6 +30,7 @@ other columns are kept, but those named like a result are replaced.
 
 from __future__ import annotations
 
+import json
 import math
 import warnings
 
@@ -114,13 +115,13 @@ def _bucket(word: Column, size: int) -> Column:
 def _gains(words: Column, docs: DataFrame, odds: dict[str, dict[str, float]]) -> Column:
     """The log odds of each word that is a feature: found in a table of hash buckets, so more features cost no more a word."""
     size = 1 << max(4, (2 * len(odds)).bit_length())
-    places = docs.sparkSession.range(1).select(*[_bucket(F.lit(w), F.lit(size)).alias(f"b{i}") for i, w in enumerate(odds)]).first()
-    buckets: list[list[str]] = [[] for _ in range(size)]
+    names = F.from_json(F.lit(json.dumps(list(odds))), "array<string>")
+    places = docs.sparkSession.range(1).select(F.transform(names, lambda w: _bucket(w, size))).first()[0]
+    buckets: list[list[dict]] = [[] for _ in range(size)]
     for w, b in zip(odds, places, strict=True):
-        buckets[b - 1].append(w)
-    kind = f"array<struct<word:string,{','.join(f'{d}:double' for d in DOMAINS)}>>"
-    table = F.array(*[F.array(*[F.struct(F.lit(w).alias("word"), *[F.lit(float(odds[w][d])).alias(d) for d in DOMAINS]) for w in b]).cast(kind) for b in buckets])
-    used = F.array(*[F.lit(bool(b)) for b in buckets])
+        buckets[b - 1].append({"word": w, **{d: float(odds[w][d]) for d in DOMAINS}})
+    table = F.from_json(F.lit(json.dumps(buckets)), f"array<array<struct<word:string,{','.join(f'{d}:double' for d in DOMAINS)}>>>")
+    used = F.from_json(F.lit(json.dumps([bool(b) for b in buckets])), "array<boolean>")
     likely = F.filter(words, lambda w: F.element_at(used, _bucket(w, size)))
     return F.flatten(F.transform(likely, lambda w: F.filter(F.element_at(table, _bucket(w, size)), lambda e: e["word"] == w)))
 
