@@ -51,6 +51,8 @@ NUMERATOR, DENOMINATOR = 3, 4
 COUNT_BITS, ID_BITS = 44, 64
 #: Pairs up to this number are broadcast to the sets, 16 bytes each.
 BROADCAST_PAIRS = 500_000
+#: Ids up to this number are broadcast to the documents that lose them, 16 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Parts that the copies of one text are dealt to.
 SALTS = 16
 #: Size classes of a doubling; smaller sizes than this are a class each.
@@ -367,7 +369,8 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """docs without those that are linked, over any path, with a smaller id."""
     found = written(near_duplicates(docs, id_column), "components")
     gone = found.filter(f"component_id <> `{id_column}`").select(id_column).distinct()
-    kept = docs.join(gone, id_column, "left_anti").select(docs.columns)
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, id_column, "left_anti").select(docs.columns)
     again = found.groupBy(id_column).count().filter("count > 1").select(id_column)
     if again.isEmpty():
         return kept
