@@ -109,24 +109,26 @@ class PatternDetector:
 
 class DateDetector:
     name = "dates"
+    EVIDENCE = {dates.BIRTH: "date+birth_context", dates.ISSUE: "date+issue_context", dates.PLAIN: "date"}
 
     def __init__(self, config: Config):
-        kinds = {k: config.type(k) for k in (dates.BIRTH, dates.ISSUE, dates.PLAIN)}
-        self.confidence = {k: f32(t.confidence) for k, t in kinds.items() if t and t.enabled}
-        birth, issue = ((kinds[k].context if kinds[k] else Context()) for k in (dates.BIRTH, dates.ISSUE))
-        self.classify = dates.DateClassifier(any_of(birth.before), any_of(birth.after), any_of(issue.before), birth.window or config.context_window)
+        types = {kind: t for kind in self.EVIDENCE if (t := config.type(kind))}
+        self.confidence = {kind: f32(t.confidence) for kind, t in types.items() if t.enabled}
+        cues = {kind: types[kind].context if kind in types else Context() for kind in (dates.BIRTH, dates.ISSUE)}
+        self.cues = dates.Cues(any_of(cues[dates.BIRTH].after), {kind: any_of(c.before) for kind, c in cues.items()}, cues[dates.BIRTH].window or config.context_window)
+
+    def _kind(self, folded: str, bare: bool, start: int, end: int) -> str | None:
+        """The type of a date, a plain one where its own is off; none where there is no date to report."""
+        if digit_glued(folded, start, end):
+            return None
+        kind = self.cues.kind(folded, start, end)
+        if bare and kind == dates.PLAIN:
+            return None
+        return next((k for k in (kind, dates.PLAIN) if k in self.confidence), None)
 
     def find(self, text: Text, places: list) -> Iterator[Candidate]:
-        for shape, start, end in dates.find_dates(text.folded):
-            if digit_glued(text.folded, start, end):
-                continue
-            kind = self.classify(text.folded, start, end)
-            if shape == "short" and kind == dates.PLAIN:
-                continue
-            kind = kind if kind in self.confidence else dates.PLAIN
-            if kind in self.confidence:
-                evidence = {dates.BIRTH: "date+birth_context", dates.ISSUE: "date+issue_context"}.get(kind, "date")
-                yield Candidate(*text.span(start, end), kind, self.confidence[kind], "dates", evidence, kind == dates.PLAIN)
+        found = ((*text.span(start, end), self._kind(text.folded, bare, start, end)) for bare, start, end in dates.find_dates(text.folded))
+        return (Candidate(start, end, kind, self.confidence[kind], "dates", self.EVIDENCE[kind], kind == dates.PLAIN) for start, end, kind in found if kind)
 
 
 class Gazetteer:
