@@ -15,7 +15,9 @@ WORD = r"[\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*"
 
 def fold(text: Column) -> Column:
     """Lower case, ё as е, special spaces and dashes as plain ones."""
-    return F.lower(F.translate(text, "Ёё" + SPACES + DASHES, "ее" + " " * len(SPACES) + "-" * len(DASHES)))
+    special = "Ёё" + SPACES + DASHES
+    plain = F.translate(text, special, "ее" + " " * len(SPACES) + "-" * len(DASHES))
+    return F.lower(F.when(F.regexp_like(text, F.lit(f"[{special}]")), plain).otherwise(text))
 
 
 def fold_entry(text: Column) -> Column:

@@ -86,21 +86,40 @@ def _free_of_digits(folded: Column):
     return free
 
 
+#: Digits that stand together, but for white space, dashes and brackets, in every match of a type: one look for so many spares most texts its patterns.
+RUNS = {"PHONE": 7, "CARD_NUMBER": 13, "INN": 10, "SNILS": 11, "BANK_ACCOUNT": 20, "OMS_POLICY": 16}
+_GAP = java(r"[\s\-()]")
+
+
+def _may_hold(folded: Column, t: TypeDef, p: Pattern) -> Column | None:
+    """A cheap test that every text with a match passes, the same for all patterns of a type."""
+    if "@" in p.regex:
+        return F.contains(folded, F.lit("@"))
+    if r"\d" in p.regex:
+        return F.regexp_like(folded, F.lit(r"\p{Nd}" + rf"(?:{_GAP}*\p{{Nd}}){{{RUNS.get(t.id, 1) - 1}}}"))
+    return None
+
+
+def _spans_of(folded: Column, t: TypeDef, p: Pattern) -> Column:
+    found = text.spans(folded, java(p.regex))
+    return F.transform(found, _cut_value(p.regex)) if "(?P<v>" in p.regex else found
+
+
 def candidates_of(folded: Column, t: TypeDef, window: int = DEFAULT_WINDOW) -> Column:
-    """Candidates of one type in a folded text, in the order of its patterns."""
-    out = []
+    """Candidates of one type in a folded text: patterns that are judged alike are judged together, in their order."""
+    alike: dict[tuple, list[Pattern]] = {}
     for p in t.patterns:
-        found = text.spans(folded, java(p.regex))
-        needed = "@" if "@" in p.regex else r"\p{Nd}" if r"\d" in p.regex else None
-        if needed:  # one cheap look spares most texts the pattern
-            found = F.when(F.contains(folded, F.lit(needed)) if needed == "@" else F.regexp_like(folded, F.lit(needed)), found).otherwise(F.array().cast(SPANS))
-        if "(?P<v>" in p.regex:
-            found = F.transform(found, _cut_value(p.regex))
+        alike.setdefault((p.confidence, p.requires_context), []).append(p)
+    out = []
+    for patterns in alike.values():
+        found = F.concat(*[_spans_of(folded, t, p) for p in patterns]).cast(SPANS)
         if t.digit_boundary:
             found = F.filter(found, _free_of_digits(folded))
-        kept = F.filter(F.transform(found, _judge(folded, t, p, window)), lambda c: c["accepted"])
+        kept = F.filter(F.transform(found, _judge(folded, t, patterns[0], window)), lambda c: c["accepted"])
         out.append(F.transform(kept, lambda c: F.struct(*[c[n].alias(n) for n in ("type", "start", "end", "value", "confidence", "priority", "weak")])))
-    return F.concat(*out).cast(CANDIDATES)
+    found, none = F.concat(*out).cast(CANDIDATES), F.array().cast(CANDIDATES)
+    tests = [_may_hold(folded, t, p) for p in t.patterns]
+    return found if any(x is None for x in tests) else F.when(tests[0], found).otherwise(none)
 
 
 def disjoint(candidates: Column) -> Column:
@@ -121,26 +140,50 @@ def disjoint(candidates: Column) -> Column:
     return F.array_sort(chosen, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
 
 
+def _original_places(spans: Column, column: Column) -> tuple[Column, Column]:
+    """(places of the extra characters, spans of the folded text as places of the text): İ alone folds to two characters.
+
+    The second of each pair is counted out: before a start, and before an end, which takes a whole pair.
+    """
+    extra = F.when(F.contains(column, F.lit("İ")), F.transform(text.spans(column, "İ"), lambda s, i: s["start"] + i + 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def moved(s: Column) -> Column:
+        start = s["start"] - F.size(F.filter("__extra", lambda d: d <= s["start"]))
+        end = s["end"] - F.size(F.filter("__extra", lambda d: d < s["end"]))
+        return F.struct(*[{"start": start, "end": end}.get(n, s[n]).alias(n) for n in ("type", "start", "end", "value", "confidence", "priority", "weak")])
+
+    return extra, F.when(F.size("__extra") > 0, F.transform(spans, moved)).otherwise(spans)
+
+
 def detect(df: DataFrame, types: tuple[str, ...], column: str = "text", min_confidence: float = 0.5) -> DataFrame:
-    """df with `spans`: disjoint entities of pattern types; folded length must equal the text's, as it does for nearly all text."""
-    folded = text.fold(F.coalesce(column, F.lit("")))
+    """df with `spans`: disjoint entities of pattern types, in code points of the text; `value` is the folded value."""
+    shown = F.coalesce(column, F.lit(""))
     wanted = [t for t in TYPES if t.id in types and t.patterns]
-    df = df.withColumn("__folded", folded)
+    extra, placed = _original_places(F.col("__found"), shown)
+    df = df.withColumn("__folded", text.fold(shown)).withColumn("__extra", extra)
     found = F.concat(*[candidates_of(F.col("__folded"), t) for t in wanted])
     df = df.withColumn("__found", F.filter(found, lambda c: (c["confidence"] >= min_confidence) & ~c["weak"]))
-    return df.withColumn("spans", disjoint(F.col("__found"))).drop("__folded", "__found")
+    return df.withColumn("spans", disjoint(placed)).drop("__folded", "__found", "__extra")
+
+
+def mask_column(spans: Column, column: Column, profile: Profile, types: tuple[str, ...] | None = None) -> Column:
+    """The text with each span masked by the profile's strategy for its type; `types` are those that spans may have."""
 
+    ways: dict = {}
+    for type_id in types if types is not None else profile.types:
+        ways.setdefault(profile.strategy(type_id), []).append(type_id)
+    ways.pop(profile.default, None)
 
-def mask_column(spans: Column, column: Column, profile: Profile) -> Column:
-    """The text with each span masked by the profile's strategy for its type."""
+    def by(st, value: Column) -> Column:
+        if st.kind == "partial":
+            return masks.partial(value, st.keep_start, st.keep_end, st.fill, st.mask_chars)
+        return {"full": lambda: masks.full(value, st.fill, st.mask_chars), "initials": lambda: masks.initials(value, st.with_dots), "remove": lambda: masks.remove(value)}[st.kind]()
 
     def masked(s: Column) -> Column:
         value = F.substr(column, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-        out = None
-        for type_id in [None, *profile.types]:
-            st = profile.strategy(type_id or "")
-            mask = {"full": lambda st=st: masks.full(value, st.fill, st.mask_chars), "partial": lambda st=st: masks.partial(value, st.keep_start, st.keep_end, st.fill, st.mask_chars), "initials": lambda st=st: masks.initials(value, st.with_dots), "remove": lambda: masks.remove(value)}[st.kind]()
-            out = mask if out is None else F.when(s["type"] == type_id, mask).otherwise(out)
+        out = by(profile.default, value)
+        for st, held in ways.items():
+            out = F.when(s["type"].isin(held), by(st, value)).otherwise(out)
         return out
 
     walked = F.aggregate(

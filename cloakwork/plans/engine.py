@@ -140,20 +140,44 @@ class Engine:
     def mask_conversations(self, rows: DataFrame, system: str | None = None, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
         """rows with `masked` and `entries`, placeholders numbered through each conversation in turn order.
 
-        Detection runs on rows as they lie; only the entries of placeholder types are numbered by key.
-        A conversation's turns come to one task together, as a chat request does.
+        Detection runs on rows as they lie, before the shuffle. Then a conversation's turns with their entities come to one
+        task together, as a chat request does, to be numbered. A row with a null key is a conversation of its own.
         """
         name, blob = self._system(system), self.blob
-        schema = StructType([*rows.drop("masked", "entries").schema.fields, *_parse_datatype_string(f"masked string, entries {ENTRIES}").fields])
         source = rows.drop("masked", "entries")
+        schema = StructType([*source.schema.fields, *_parse_datatype_string(f"masked string, entries {ENTRIES}").fields])
+        alone = self.mask(source.filter(F.col(key).isNull()), name, text).select(*source.columns, "masked", "entries")
 
         def run(table: pa.Table) -> pa.Table:
-            engine, state = compiled(blob), MaskState()
+            masker, state = compiled(blob).systems[name][2], MaskState()
             table = table.sort_by([(order, "ascending"), (text, "ascending")])
-            made = [engine.mask(value or "", name, state) for value in table.column(text).to_pylist()]
-            return table.append_column("masked", pa.array([m[0] for m in made], pa.string())).append_column("entries", pa.array([entry_rows(m[1]) for m in made], _ENTRY))
-
-        return source.groupBy(key).applyInArrow(run, schema)
+            found = [[Entity(e["start"], e["end"], e["type"], e["confidence"], e["evidence"]) for e in row] for row in table.column("__found").to_pylist()]
+            texts = table.column(text).to_pylist()
+            made = [masker.mask(value or "", entities, state) for value, entities in zip(texts, found, strict=True)]
+            table = table.drop_columns(["__found"])
+            return table.append_column("masked", pa.array([m[0] if t is not None else None for m, t in zip(made, texts, strict=True)], pa.string())).append_column("entries", pa.array([entry_rows(m[1]) for m in made], _ENTRY))
+
+        known = source.filter(F.col(key).isNotNull())
+        found = self._map(known, f"__found {ENTITIES}", [_ENTITY], lambda engine, value: (entity_rows(value or "", engine.detect(value or "", name)),), text)
+        return found.groupBy(key).applyInArrow(run, schema).unionByName(alone)
+
+    def chat_round(self, turns: DataFrame, replies: DataFrame, system: str | None = None, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
+        """(key, reply, restored, status, code, n_entities, types) of a model's replies (key, reply) to masked conversations.
+
+        What was masked in a conversation is put back wherever a reply uses its placeholders. A system that may not restore
+        gets the reply as it is (status 200, code DEMASK_FORBIDDEN); a reply that is null is an error of the upstream
+        model (502), one to no conversation has no mapping (404).
+        """
+        s = self.config.system(self._system(system))
+        masked = self.mask_conversations(turns.select(key, order, text), s.id, key, order, text)
+        by_key = masked.filter(F.col(key).isNotNull()).groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(order, text, "entries"))), lambda r: r["entries"])).alias("__entries"))
+        joined = replies.select(key, "reply").join(by_key, key, "left").withColumn("__exact", F.lit(False))
+        done = self.restore(joined, "reply", "__entries", "__exact")
+        code = F.when(F.col("reply").isNull(), "UPSTREAM_ERROR").when(F.col("__entries").isNull(), "MAPPING_NOT_FOUND").when(F.lit(not s.demask), "DEMASK_FORBIDDEN")
+        status = F.when(F.col("reply").isNull(), 502).when(F.col("__entries").isNull(), 404).otherwise(200)
+        shown = F.when(status == 200, F.col("restored") if s.demask else F.col("reply"))
+        types = F.array_sort(F.array_distinct(F.transform("__entries", lambda e: e["type"])))
+        return done.select(key, "reply", shown.alias("restored"), status.alias("status"), code.alias("code"), F.coalesce(F.size("__entries"), F.lit(0)).alias("n_entities"), F.coalesce(F.array_join(types, ","), F.lit("")).alias("types"))
 
     def mappings(self, masked: DataFrame, system: str | None = None, payload_id: str = "payload_id", text: str = "text", created_at: Column | None = None) -> DataFrame:
         """Rows for a mapping store from the result of mask()."""
@@ -174,16 +198,16 @@ class Engine:
     def process(self, requests: DataFrame, system: str | None = None) -> DataFrame:
         """(payload_id, seq, direction, result, status, code) of requests (payload_id, seq, payload).
 
-        The first request of an id is masked and recorded; the same text again gives the same mask; its mask
+        The first request of an id, of equal numbers the first by text, is masked and recorded; the same text again gives the same mask; its mask
         gives the original back; any other text is restored by its masks.
         """
         s = self.config.system(self._system(system))
         requests = requests.select("payload_id", "seq", "payload")
         valid = requests.filter("trim(coalesce(payload_id, '')) <> ''")
-        first = valid.groupBy("payload_id").agg(F.min_by("payload", "seq").alias("text"), F.min("seq").alias("first_seq"))
+        first = valid.groupBy("payload_id").agg(F.min(F.struct("seq", "payload")).alias("m")).select("payload_id", F.col("m.payload").alias("text"), F.col("m.seq").alias("first_seq"))
         known = self.mask(first, s.id).select("payload_id", "first_seq", F.sha2("text", 256).alias("original_hash"), F.sha2("masked", 256).alias("masked_hash"), "masked", "entries")
         joined = valid.join(known, "payload_id").withColumn("hash", F.sha2("payload", 256))
-        is_mask = (F.col("seq") == F.col("first_seq")) | (F.col("hash") == F.col("original_hash"))
+        is_mask = F.col("hash") == F.col("original_hash")
         joined = joined.withColumn("direction", F.when(is_mask, "mask").when(F.lit(not s.demask), "error").when(F.col("hash") == F.col("masked_hash"), "demask_exact").otherwise("demask_substitute"))
         done = self.restore(joined.withColumn("exact", F.col("direction") == "demask_exact"), "payload", "entries", "exact")
         result = F.when(F.col("direction") == "mask", F.col("masked")).when(F.col("direction") != "error", F.col("restored"))

@@ -182,7 +182,8 @@ _CARD_RE = r"\b\d{13,19}\b"
 
 
 def _spans(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.type").alias("type"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.col("s.value").alias("value"))
+    # outer: an inner explode tests the array's size first, and so works it out twice
+    return found.select("doc_id", F.explode_outer("spans").alias("s")).filter("s IS NOT NULL").select("doc_id", F.col("s.type").alias("type"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.col("s.value").alias("value"))
 
 
 @query("WITH " + _FOLDED + ", " + _OFFSETS.format(name="e", kind="'EMAIL'", re=_EMAIL_RE) + " SELECT doc_id, kind AS type, CAST(s AS BIGINT) AS start, CAST(s + length(val) AS BIGINT) AS stop, val AS value FROM e_at WHERE val IS NOT NULL")
@@ -212,13 +213,45 @@ def card_spans(spark, sf):
 
 
 PATTERN_TYPES = ("EMAIL", "PHONE", "CARD_NUMBER")
-
-
-@query()
+TYPE_BOOST = 0.15
+
+
+_PHONE_LOCAL = r"\b\d{3}[\s\-]\d{2}[\s\-]\d{2}\b"
+_CARDS = (r"\b\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{2,7}\b", r"\b\d{4}[ \-]\d{6}[ \-]\d{5}\b", _CARD_RE)
+_CUES = {"PHONE": "тел|телефон|моб|сот|звон|номер|phone|whatsapp|telegram|контакт|связ", "CARD_NUMBER": "карт|card|номер|pan|visa|mastercard|мир"}
+_HOTLINE = r"горяч[\p{L}\p{N}_]+\s+лини|служб[\p{L}\p{N}_]+\s+поддержки|колл-центр|call-центр|контакт-центр|справочн[\p{L}\p{N}_]+\s+служб"
+_NEAR = "(regexp_matches(substr(t, CAST(greatest(1, s - 47) AS INT), CAST(least(48, s) AS INT)), '{0}') OR regexp_matches(substr(t, CAST(e + 1 AS INT), 48), '{0}'))"
+_BEFORE = "regexp_matches(substr(t, CAST(greatest(1, s - 47) AS INT), CAST(least(48, s) AS INT)), '{0}')"
+_DIGITS = "length(regexp_replace({0}, '[^0-9]', '', 'g'))"
+_MASK_ENDS = f"list_aggregate(list_transform(range(1, length(v) + 1), lambda i: CASE WHEN NOT regexp_matches(substr(v, CAST(i AS INT), 1), '[0-9]') OR ({_DIGITS.format('v')} > 5 AND ({_DIGITS.format('substr(v, 1, CAST(i AS INT))')} <= 2 OR {_DIGITS.format('substr(v, 1, CAST(i AS INT))')} > {_DIGITS.format('v')} - 2)) THEN substr(v, CAST(i AS INT), 1) ELSE '*' END), 'string_agg', '')"
+
+
+def _mask_documents_sql() -> str:
+    """Candidates of the three types with their confidence, chosen greedily one after another, and the text put together again."""
+    sources = [("EMAIL", _EMAIL_RE, 0.98, False), *(("PHONE", r, 0.92, False) for r in _PHONE_RE), ("PHONE", _PHONE_LOCAL, 0.8, True), *(("CARD_NUMBER", r, 0.9, False) for r in _CARDS)]
+    ctes = [_FOLDED, *(_OFFSETS.format(name=f"x{i}", kind=f"'{k}'", re=r) for i, (k, r, _, _) in enumerate(sources))]
+    luhn = _LUHN.replace("val", "d")
+    every = " UNION ALL ".join(f"SELECT doc_id, kind, s, s + length(val) AS e, val, {c} AS base, {need} AS need FROM x{i}_at WHERE val IS NOT NULL" for i, (_, _, c, need) in enumerate(sources))
+    ctes.append(f"c AS (SELECT *, regexp_replace(val, '[^0-9]', '', 'g') AS d FROM ({every}) JOIN f USING (doc_id))")
+    cue = f"CASE kind WHEN 'PHONE' THEN {_BEFORE.format(_CUES['PHONE'])} WHEN 'CARD_NUMBER' THEN {_BEFORE.format(_CUES['CARD_NUMBER'])} ELSE false END"
+    valid = f"CASE kind WHEN 'PHONE' THEN {_PHONE_VALID} WHEN 'CARD_NUMBER' THEN length(d) > 1 AND {luhn} % 10 = 0 ELSE true END"
+    glued = "kind <> 'EMAIL' AND (regexp_matches(substr(t, CAST(greatest(s, 1) AS INT), CASE WHEN s > 0 THEN 1 ELSE 0 END), '[0-9]') OR regexp_matches(substr(t, CAST(e + 1 AS INT), 1), '[0-9]'))"
+    ctes.append(f"j AS (SELECT *, {cue} AS cue, {valid} AS ok, CASE kind WHEN 'EMAIL' THEN 100 WHEN 'CARD_NUMBER' THEN 90 ELSE 80 END AS prio FROM c WHERE NOT ({glued}) AND NOT (kind = 'PHONE' AND {_NEAR.format(_HOTLINE)}))")
+    sure = "CASE WHEN cue AND ok THEN least(CAST(base AS FLOAT) + CAST({boost} AS FLOAT), 1) WHEN cue THEN greatest(CAST(base AS FLOAT) - CAST(0.2 AS FLOAT), 0.5) ELSE CAST(base AS FLOAT) END".format(boost=TYPE_BOOST)
+    ctes.append(f"k AS (SELECT doc_id, kind, s, e, row_number() OVER (PARTITION BY doc_id ORDER BY {sure} DESC, prio DESC, e - s DESC, s) AS n FROM j WHERE (ok OR (kind = 'CARD_NUMBER' AND cue)) AND (NOT need OR cue))")
+    ctes.append("g AS (SELECT doc_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(kind VARCHAR, s BIGINT, e BIGINT)[]) AS held FROM documents UNION ALL SELECT g.doc_id, k.n, CASE WHEN len(list_filter(g.held, lambda h: h.s < k.e AND k.s < h.e)) > 0 THEN g.held ELSE list_append(g.held, {'kind': k.kind, 's': CAST(k.s AS BIGINT), 'e': CAST(k.e AS BIGINT)}) END FROM g JOIN k ON k.doc_id = g.doc_id AND k.n = g.n + 1)")
+    ctes.append("h AS (SELECT doc_id, unnest(arg_max(held, n)) AS h FROM g GROUP BY doc_id)")
+    ctes.append("p AS (SELECT doc_id, h.kind AS kind, h.s AS s, h.e AS e, coalesce(lag(h.e) OVER (PARTITION BY doc_id ORDER BY h.s), 0) AS last FROM h)")
+    masked = f"CASE WHEN kind = 'EMAIL' THEN regexp_replace(v, '[\\p{{L}}\\p{{N}}]', '*', 'g') ELSE {_MASK_ENDS} END"
+    ctes.append(f"q AS (SELECT doc_id, count(*) AS n, max(e) AS last, string_agg(gap || {masked}, '' ORDER BY s) AS shown FROM (SELECT p.*, substr(text, CAST(last + 1 AS INT), CAST(s - last AS INT)) AS gap, substr(text, CAST(s + 1 AS INT), CAST(e - s AS INT)) AS v FROM p JOIN documents USING (doc_id)) GROUP BY doc_id)")
+    return "WITH RECURSIVE " + ", ".join(ctes) + " SELECT doc_id, coalesce(shown, '') || substr(text, CAST(coalesce(last, 0) + 1 AS INT)) AS masked, coalesce(n, 0) AS n_entities FROM documents LEFT JOIN q USING (doc_id)"
+
+
+@query(_mask_documents_sql())
 def mask_documents(spark, sf):
     """Pattern types found and masked in the JVM: the flagship over documents."""
     found = pattern_spans.detect(table(spark, sf, "documents").select("doc_id", "text"), PATTERN_TYPES)
-    return found.select("doc_id", pattern_spans.mask_column(F.col("spans"), F.col("text"), PROFILES["reference"]).alias("masked"), F.size("spans").cast("long").alias("n_entities"))
+    return found.select("doc_id", pattern_spans.mask_column(F.col("spans"), F.col("text"), PROFILES["reference"], PATTERN_TYPES).alias("masked"), F.size("spans").cast("long").alias("n_entities"))
 
 
 @query("WITH " + _FOLDED + ", " + _OFFSETS.format(name="e", kind="'EMAIL'", re=_EMAIL_RE) + " SELECT kind AS type, count(*) AS n FROM e_at WHERE val IS NOT NULL GROUP BY kind")

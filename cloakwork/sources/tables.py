@@ -26,9 +26,14 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled records from a JSONL file or folder, without blank and # lines; a broken line is an error."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> '' AND NOT startswith(line, '#')")
-    return lines.select(F.from_json("line", GOLDEN, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    """Labelled records from a JSONL file or folder, without blank and # lines; a broken line is an error that says where it is."""
+    files = read_texts(spark, path)
+    lines = files.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line")).withColumn("line", F.trim("line")).filter("line <> '' AND NOT startswith(line, '#')")
+    record = F.from_json("line", GOLDEN + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    where = F.concat(F.lit("malformed record at "), F.col("path"), F.lit(":"), (F.col("n") + 1).cast("string"))
+    checked = F.when(F.col("r._bad").isNull(), F.col("r")).otherwise(F.raise_error(where).cast(f"struct<{', '.join(x.strip().replace(' ', ':', 1) for x in (GOLDEN + ', _bad string').split(', '))}>"))
+    rows = lines.withColumn("r", record).select(checked.alias("r")).select("r.*")
+    return rows.drop("_bad")
 
 
 def write_golden(records: DataFrame, path: str) -> None:

@@ -1,4 +1,7 @@
-"""The mask-then-restore protocol as a stream: one state for each (system, payload id)."""
+"""The mask-then-restore protocol as a stream: one state for each (system, payload id).
+
+States hold originals, so they are sealed with the configuration's secret before they leave the worker.
+"""
 
 from __future__ import annotations
 
@@ -12,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cloakwork.operators.restoring import masked_again, restore
+from cloakwork.operators.sealing import open_bytes, seal_bytes
 from cloakwork.plans.engine import Engine, compiled, entries_of, entry_rows
 
 RESULT = "payload_id string, seq bigint, direction string, result string, status int, code string"
-STATE = "mapping string"
+STATE = "mapping binary"
 
 
 def _hash(text: str) -> str:
@@ -44,21 +48,21 @@ def process_stream(requests: DataFrame, engine: Engine, system: str | None = Non
     made, however often it is read.
     """
     name = engine._system(system)
-    blob, may_restore = engine.blob, engine.config.system(name).demask
+    blob, may_restore, secret = engine.blob, engine.config.system(name).demask, engine.config.secret
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         held = compiled(blob)
-        mapping = json.loads(state.get[0]) if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        mapping = json.loads(open_bytes(secret, bytes(state.get[0]))) if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["seq", "payload"], kind="stable")
         out = []
         for seq, payload in zip(rows["seq"], rows["payload"], strict=True):
             had = mapping is not None
             mapping, *answer = step(mapping, payload or "", lambda t: held.mask(t, name), may_restore)
             if not had:
-                state.update((json.dumps(mapping),))
+                state.update((seal_bytes(secret, json.dumps(mapping).encode()),))
                 if ttl_ms:
                     state.setTimeoutDuration(ttl_ms)
             out.append((key[0], seq, *answer))
