@@ -267,20 +267,27 @@ class PersonDetector:
     def __init__(self, config: Config, lists: Dictionaries):
         t = config.type("FIO")
         self.lists, self.scale = lists, f32(t.confidence) if t else f32(0.9)
+        self.known: dict[str, tuple[bool, bool, bool, bool]] = {}
+
+    def _alone(self, t: str) -> tuple[bool, bool, bool, bool]:
+        """(first name, patronymic, surname of the list, like a surname) of a word by itself, remembered for as many words as a worker may hold."""
+        if t not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            parts = [] if t in NO_NAMES else t.split("-")
+            self.known[t] = t in self.lists.nominative and t not in NO_NAMES, self.lists.is_patronymic(t), any(self.lists.surname_lemma(p) for p in parts), any(map(M.surname_like, parts))
+        return self.known[t]
 
     def role(self, words: list[Word], i: int, folded: str) -> Role:
         w = words[i]
         t = w.text
         if w.kind != CYRILLIC:
             return Role(cap=w.capitalized, length=len(t))
-        stop = t in NO_NAMES
-        beside = [words[j].kind for j in (i - 1, i + 1) if 0 <= j < len(words)]
-        first = t in self.lists.nominative and not stop and not (t in MONTH_WORDS and DIGITS in beside)
-        parts = [] if stop else t.split("-")
-        return Role(
-            first, first and t in self.lists.ambiguous, self.lists.is_patronymic(t), any(self.lists.surname_lemma(p) for p in parts), any(map(M.surname_like, parts)),
-            len(t) == 1 and folded[w.end : w.end + 1] == ".", w.capitalized and not stop, True, len(t),
-        )
+        first, patronymic, family, like = self._alone(t)
+        if first and t in MONTH_WORDS:
+            first = DIGITS not in [words[j].kind for j in (i - 1, i + 1) if 0 <= j < len(words)]
+        initial = len(t) == 1 and folded[w.end : w.end + 1] == "."
+        return Role(first, first and t in self.lists.ambiguous, patronymic, family, like, initial, w.capitalized and t not in NO_NAMES, True, len(t))
 
     @staticmethod
     def runs(words: list[Word], roles: list[Role], folded: str) -> Iterator[tuple[int, int]]:

@@ -12,6 +12,7 @@ import numpy as np
 # What folding makes equal.
 SPACES, DASHES = "\u00a0\u2007\u202f\t", "\u2010\u2011\u2012\u2013\u2014\u2212"
 _TABLE = {ord(c): " " for c in SPACES} | {ord(c): "-" for c in DASHES} | {ord("Ё"): "е", ord("ё"): "е"}
+_SPECIAL = re.compile(f"[Ёё{SPACES}{DASHES}]")
 _WORD = re.compile(r"[^\W_]+(?:[-'’]+(?=[^\W_])[^\W_]+)*")
 _CYRILLIC = re.compile("[а-яёіїєґў]")
 _LATIN, _DIGIT = re.compile("[a-z]"), re.compile("[0-9]")
@@ -39,7 +40,7 @@ class Text:
 
     def __init__(self, original: str):
         self.original = original
-        folded = original.translate(_TABLE).lower()
+        folded = (original.translate(_TABLE) if _SPECIAL.search(original) else original).lower()
         self.starts: list[int] | None = None  # original place of each folded character, where they differ
         if len(folded) != len(original) or "ς" in folded or "İ" in original:
             parts = [c.translate(_TABLE).lower() for c in original]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass, replace
+from itertools import accumulate
 
 from cloakwork.plans.catalog import ADDRESS_PARTS, Config, System
 from cloakwork.operators import morphology as M
@@ -39,6 +40,31 @@ def _seven(d: str) -> str:
     return "7" + d[1:] if d.startswith("8") else d
 
 
+class Places:
+    """Spans that are asked about others in logarithmic time."""
+
+    def __init__(self, spans):
+        spans = sorted(spans)
+        self.starts = [s for s, _ in spans]
+        self.farthest = list(accumulate((e for _, e in spans), max))  # end of any span so far
+        self.nearest = list(accumulate((e for _, e in reversed(spans)), min))[::-1]  # end of any span from here
+
+    def reach(self, start: int, end: int) -> bool:
+        """Some span touches start to end, or lies in it."""
+        i = bisect_right(self.starts, end)
+        return i > 0 and self.farthest[i - 1] >= start
+
+    def hold(self, start: int, end: int) -> bool:
+        """Some span holds start to end."""
+        i = bisect_right(self.starts, start)
+        return i > 0 and self.farthest[i - 1] >= end
+
+    def inside(self, start: int, end: int) -> bool:
+        """Some span lies in start to end."""
+        i = bisect_left(self.starts, start)
+        return i < len(self.starts) and self.nearest[i] <= end
+
+
 class Resolver:
     def __init__(self, config: Config):
         self.types = {t.id: t for t in config.types}
@@ -84,7 +110,8 @@ class Resolver:
                     public[PUBLIC_ADDRESS].append((c.start, c.end))
             else:
                 kept.append(c)
-        return [c for c in kept if not (c.type in ADDRESS_PARTS and any(s <= c.start and c.end <= e for s, e in public[PUBLIC_ADDRESS]))], public
+        around = Places(public[PUBLIC_ADDRESS])
+        return [c for c in kept if not (c.type in ADDRESS_PARTS and around.hold(c.start, c.end))], public
 
     def resolve(self, text: Text, candidates: list[Candidate], system: System, allowed: frozenset[str]) -> list[Entity]:
         candidates, public = self.weigh(text, candidates)
@@ -93,36 +120,29 @@ class Resolver:
         accepted = self._addresses(accepted, system.address_mode)
         accepted = self._weak(accepted, system.weak_entities)
 
-        def near(c: Candidate, spans, within: int) -> bool:
-            return any(self.distance(text, c, s) <= within for s in spans)
+        def near(c: Candidate, places: Places, within: int) -> bool:
+            return places.reach(text.byte(c.start) - within, text.byte(c.end) + within)
 
-        if people := public[PUBLIC_PERSON]:
-            clients = [(c.start, c.end) for c in accepted if c.type == "FIO"]
+        def places(spans) -> Places:
+            return Places((text.byte(s), text.byte(e)) for s, e in spans)
+
+        if public[PUBLIC_PERSON]:
+            people, clients = places(public[PUBLIC_PERSON]), places((c.start, c.end) for c in accepted if c.type == "FIO")
             accepted = [c for c in accepted if c.type not in OF_A_PERSON or not near(c, people, PUBLIC_WINDOW) or near(c, clients, PUBLIC_WINDOW)]
         for rule in system.combination_rules:
-            present = [(c.start, c.end) for c in accepted if c.type in rule.only_if_present]
-            accepted = [c for c in accepted if c.type != rule.mask or (near(c, present, rule.window) if rule.window else present)]
-        issuers = [c.end for c in accepted if c.type == "PASSPORT_ISSUER"]
+            present = places((c.start, c.end) for c in accepted if c.type in rule.only_if_present)
+            accepted = [c for c in accepted if c.type != rule.mask or (near(c, present, rule.window) if rule.window else present.starts)]
+        issuers = sorted(c.end for c in accepted if c.type == "PASSPORT_ISSUER")
         accepted = [self._issued(text, c, issuers) for c in accepted]
         return self.disjoint(text, accepted)
 
-    @staticmethod
-    def distance(text: Text, c: Candidate, span: tuple[int, int]) -> int:
-        """Bytes between a candidate and a span; overlapping ones are 0 apart."""
-        s, e = span
-        return text.byte(s) - text.byte(c.end) if c.end <= s else text.byte(c.start) - text.byte(e) if e <= c.start else 0
-
     @staticmethod
     def _addresses(accepted: list[Candidate], mode: str) -> list[Candidate]:
-        whole = [c for c in accepted if c.type == "ADDRESS"]
-
-        def inside(part: Candidate, address: Candidate) -> bool:
-            return address.start <= part.start and part.end <= address.end
-
         if mode == "whole":
-            return [c for c in accepted if not (c.type in ADDRESS_PARTS and any(inside(c, a) for a in whole))]
-        parts = [c for c in accepted if c.type in ADDRESS_PARTS]
-        return [c for c in accepted if not (c.type == "ADDRESS" and any(inside(p, c) for p in parts))]
+            whole = Places((c.start, c.end) for c in accepted if c.type == "ADDRESS")
+            return [c for c in accepted if not (c.type in ADDRESS_PARTS and whole.hold(c.start, c.end))]
+        parts = Places((c.start, c.end) for c in accepted if c.type in ADDRESS_PARTS)
+        return [c for c in accepted if not (c.type == "ADDRESS" and parts.inside(c.start, c.end))]
 
     def _weak(self, accepted: list[Candidate], policy: str) -> list[Candidate]:
         strong = {c.type for c in accepted if not c.weak}
@@ -131,7 +151,8 @@ class Resolver:
 
     @staticmethod
     def _issued(text: Text, c: Candidate, issuers: list[int]) -> Candidate:
-        if c.type == "DATE" and any(0 <= text.byte(c.start) - text.byte(e) <= ISSUER_GAP_BYTES and 0 <= c.start - e <= ISSUER_GAP_CHARS for e in issuers):
+        i = bisect_right(issuers, c.start) if c.type == "DATE" else 0  # the nearest issuer that ends before it
+        if i and c.start - issuers[i - 1] <= ISSUER_GAP_CHARS and text.byte(c.start) - text.byte(issuers[i - 1]) <= ISSUER_GAP_BYTES:
             return replace(c, type="PASSPORT_ISSUE_DATE", confidence=max(c.confidence, f32(0.9)), evidence="date+after_issuer")
         return c
 

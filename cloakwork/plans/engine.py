@@ -69,6 +69,8 @@ def compiled(blob: bytes) -> Compiled:
 
 
 def entity_rows(text: str, entities: list[Entity]) -> list[dict]:
+    if not entities:
+        return []
     t = Text(text)
     return [{"type": e.type, "start": e.start, "end": e.end, "byte_start": t.byte(e.start), "byte_end": t.byte(e.end), "confidence": e.confidence, "evidence": e.evidence} for e in entities]
 

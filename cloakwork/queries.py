@@ -12,7 +12,7 @@ from cloakwork.operators import evaluation, generation, metrics, pattern_spans
 from cloakwork.operators.checks import MONTHS
 from cloakwork.plans.catalog import PROFILES, Config, Strategy, System, Profile
 from cloakwork.plans.engine import Engine
-from cloakwork.sources.shared import shared_path
+from cloakwork.sources.shared import shared_path, spread
 from cloakwork.sources.tables import add_mappings, chat_messages, log_rows, mapping_key, seal, unseal
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # Text expressions.
 
 
@@ -188,7 +192,7 @@ def _spans(found: DataFrame) -> DataFrame:
 
 @query("WITH " + _FOLDED + ", " + _OFFSETS.format(name="e", kind="'EMAIL'", re=_EMAIL_RE) + " SELECT doc_id, kind AS type, CAST(s AS BIGINT) AS start, CAST(s + length(val) AS BIGINT) AS stop, val AS value FROM e_at WHERE val IS NOT NULL")
 def email_spans(spark, sf):
-    return _spans(pattern_spans.detect(table(spark, sf, "documents").select("doc_id", "text"), ("EMAIL",)))
+    return _spans(pattern_spans.detect(documents(spark, sf), ("EMAIL",)))
 
 
 _PHONE_VALID = r"length(regexp_replace(val, '[^0-9]', '', 'g')) BETWEEN 7 AND 15 AND replace(regexp_replace(val, '[^0-9]', '', 'g'), substr(regexp_replace(val, '[^0-9]', '', 'g'), 1, 1), '') <> '' AND NOT (length(regexp_replace(val, '[^0-9]', '', 'g')) = 11 AND regexp_matches(val, '^\s*(?:\+7|8|7)') AND substr(regexp_replace(val, '[^0-9]', '', 'g'), 2, 1) < '3')"
@@ -201,7 +205,7 @@ _PHONE_VALID = r"length(regexp_replace(val, '[^0-9]', '', 'g')) BETWEEN 7 AND 15
     + " SELECT a.doc_id, a.kind AS type, CAST(a.s AS BIGINT) AS start, CAST(a.e AS BIGINT) AS stop, a.val AS value FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.doc_id = a.doc_id AND b.s < a.e AND a.s < b.e AND (b.e - b.s > a.e - a.s OR (b.e - b.s = a.e - a.s AND b.s < a.s)))"
 )
 def phone_spans(spark, sf):
-    return _spans(pattern_spans.detect(table(spark, sf, "documents").select("doc_id", "text"), ("PHONE",)))
+    return _spans(pattern_spans.detect(documents(spark, sf), ("PHONE",)))
 
 
 _LUHN = "list_sum(list_transform(range(1, length(val) + 1), lambda i: CASE WHEN (length(val) - i) % 2 = 1 THEN CASE WHEN CAST(substr(val, CAST(i AS INT), 1) AS INT) * 2 > 9 THEN CAST(substr(val, CAST(i AS INT), 1) AS INT) * 2 - 9 ELSE CAST(substr(val, CAST(i AS INT), 1) AS INT) * 2 END ELSE CAST(substr(val, CAST(i AS INT), 1) AS INT) END))"
@@ -209,7 +213,7 @@ _LUHN = "list_sum(list_transform(range(1, length(val) + 1), lambda i: CASE WHEN
 
 @query("WITH " + _FOLDED + ", " + _OFFSETS.format(name="c", kind="'CARD_NUMBER'", re=_CARD_RE) + f" SELECT doc_id, kind AS type, CAST(s AS BIGINT) AS start, CAST(s + length(val) AS BIGINT) AS stop, val AS value FROM c_at JOIN f USING (doc_id) WHERE val IS NOT NULL AND ({_LUHN} % 10 = 0 OR regexp_matches(substr(t, CAST(greatest(1, s - 47) AS INT), CAST(least(48, s) AS INT)), 'карт|card|номер|pan|visa|mastercard|мир'))")
 def card_spans(spark, sf):
-    return _spans(pattern_spans.detect(table(spark, sf, "documents").select("doc_id", "text"), ("CARD_NUMBER",)))
+    return _spans(pattern_spans.detect(documents(spark, sf), ("CARD_NUMBER",)))
 
 
 PATTERN_TYPES = ("EMAIL", "PHONE", "CARD_NUMBER")
@@ -250,13 +254,13 @@ def _mask_documents_sql() -> str:
 @query(_mask_documents_sql())
 def mask_documents(spark, sf):
     """Pattern types found and masked in the JVM: the flagship over documents."""
-    found = pattern_spans.detect(table(spark, sf, "documents").select("doc_id", "text"), PATTERN_TYPES)
+    found = pattern_spans.detect(documents(spark, sf), PATTERN_TYPES)
     return found.select("doc_id", pattern_spans.mask_column(F.col("spans"), F.col("text"), PROFILES["reference"], PATTERN_TYPES).alias("masked"), F.size("spans").cast("long").alias("n_entities"))
 
 
 @query("WITH " + _FOLDED + ", " + _OFFSETS.format(name="e", kind="'EMAIL'", re=_EMAIL_RE) + " SELECT kind AS type, count(*) AS n FROM e_at WHERE val IS NOT NULL GROUP BY kind")
 def type_counts(spark, sf):
-    found = pattern_spans.detect(table(spark, sf, "documents").select("doc_id", "text"), ("EMAIL",))
+    found = pattern_spans.detect(documents(spark, sf), ("EMAIL",))
     return metrics.type_counts(found.withColumnRenamed("spans", "entities"))
 
 
@@ -352,6 +356,21 @@ def remove_built(spark, sf):
     return engine.mask(built(spark, sf).select("k", "text")).select("k", "masked")
 
 
+#: What stands between the parts of a large text: longer than any window of cue words.
+GAP = "\n" + "~ " * 40 + "\n"
+LARGE = 8
+
+
+@query(_BUILT + rf""", p AS (SELECT k, before || regexp_replace(value, '[\p{{L}}\p{{N}}]', '*', 'g') || after AS m FROM b WHERE type IS NOT NULL)
+SELECT k % {LARGE} AS part, CAST(count(*) AS BIGINT) AS n_entities, sha256(string_agg(m, '{GAP.replace(chr(10), "' || chr(10) || '")}' ORDER BY k)) AS masked_sha256 FROM p GROUP BY 1""")
+def mask_large_texts(spark, sf):
+    """A few texts with thousands of entities each: at sf0.1 about 2 MB and 15,000 entities."""
+    rows = built(spark, sf).filter("type IS NOT NULL").groupBy((F.col("k") % LARGE).alias("part")).agg(F.sort_array(F.collect_list(F.struct("k", "text"))).alias("t"))
+    texts = rows.select("part", F.array_join("t.text", GAP).alias("text")).repartition(LARGE)
+    engine = Engine(Config(systems=(System("full", anonymous=True, profile="full"),)))
+    return engine.mask(texts).select("part", F.size("entities").cast("long").alias("n_entities"), F.sha2("masked", 256).alias("masked_sha256"))
+
+
 @query(_BUILT + " SELECT type, count(*) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn FROM b WHERE type IS NOT NULL GROUP BY type UNION ALL SELECT 'micro', count(type), 0, 0 FROM b")
 def quality_built(spark, sf):
     """The confusion counts of detection against what the builder put in."""
@@ -380,7 +399,7 @@ def candidates_built(spark, sf):
 @query("SELECT doc_id, true AS same FROM documents")
 def roundtrip_documents(spark, sf):
     engine = Engine()
-    done = engine.restore(engine.mask(table(spark, sf, "documents").select("doc_id", "text")), "masked")
+    done = engine.restore(engine.mask(documents(spark, sf)), "masked")
     return done.select("doc_id", (F.col("restored") == F.col("text")).alias("same"))
 
 
