@@ -6,8 +6,9 @@ from datetime import datetime
 import duckdb
 import pytest
 
-from cloakwork.queries import QUERIES, SQL
+from cloakwork import case_queries, queries
 
+QUERIES, SQL = queries.QUERIES | case_queries.QUERIES, queries.SQL | case_queries.SQL
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
