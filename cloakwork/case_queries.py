@@ -282,3 +282,59 @@ def folded_places(spark, sf):
     s = F.col("spans")[0]
     found = F.substr("text", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
     return pattern_spans.detect(d, ("EMAIL",)).select("doc_id", (found == F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit("@box.ru"))).alias("covered"))
+
+
+# The catalogue, written out: (id, group, confidence, priority, weak, validator, patterns).
+
+CATALOGUE = [
+    ("ADDRESS", "address", 0.9, 75, False, "none", 0),
+    ("ADDRESS_APARTMENT", "address", 0.9, 74, False, "none", 0),
+    ("ADDRESS_CITY", "address", 0.9, 74, True, "none", 0),
+    ("ADDRESS_COUNTRY", "address", 0.9, 74, False, "none", 0),
+    ("ADDRESS_HOUSE", "address", 0.9, 74, False, "none", 0),
+    ("ADDRESS_INDEX", "address", 0.9, 74, False, "none", 0),
+    ("ADDRESS_REGION", "address", 0.9, 74, False, "none", 0),
+    ("ADDRESS_STREET", "address", 0.9, 74, False, "none", 0),
+    ("BANK_ACCOUNT", "bank", 0.88, 89, False, "none", 1),
+    ("BIRTH_CERTIFICATE", "documents", 0.92, 84, False, "none", 1),
+    ("BIRTH_DATE", "person", 0.95, 60, False, "none", 0),
+    ("BIRTH_PLACE", "person", 0.92, 72, False, "none", 0),
+    ("CARD_EXPIRY", "card", 0.8, 55, True, "none", 2),
+    ("CARD_HOLDER", "card", 0.9, 66, False, "none", 0),
+    ("CARD_NUMBER", "card", 0.9, 90, False, "luhn", 3),
+    ("CITIZENSHIP", "passport", 0.92, 72, False, "none", 0),
+    ("CVV", "card", 0.95, 95, False, "none", 1),
+    ("DATE", "person", 0.6, 50, True, "none", 0),
+    ("DRIVER_LICENSE", "documents", 0.92, 84, False, "none", 2),
+    ("EMAIL", "contact", 0.98, 100, False, "none", 1),
+    ("FIO", "person", 0.9, 65, False, "none", 0),
+    ("FOREIGN_PASSPORT", "documents", 0.92, 84, False, "none", 1),
+    ("INN", "tax", 0.9, 70, False, "inn", 2),
+    ("MILITARY_ID", "documents", 0.92, 84, False, "none", 1),
+    ("OMS_POLICY", "documents", 0.9, 83, False, "digits_len", 1),
+    ("PASSPORT", "passport", 0.92, 85, False, "none", 3),
+    ("PASSPORT_ISSUER", "passport", 0.9, 73, False, "none", 0),
+    ("PASSPORT_ISSUE_DATE", "passport", 0.95, 60, False, "none", 0),
+    ("PHONE", "contact", 0.92, 80, False, "phone", 4),
+    ("PIN", "card", 0.95, 95, False, "none", 1),
+    ("RESIDENCE_PERMIT", "documents", 0.92, 84, False, "none", 1),
+    ("SNILS", "documents", 0.92, 88, False, "snils", 2),
+    ("SUBDIVISION_CODE", "passport", 0.95, 86, True, "none", 2),
+]
+_SHOWN = "BANK_ACCOUNT BIRTH_CERTIFICATE CARD_NUMBER DRIVER_LICENSE FOREIGN_PASSPORT INN MILITARY_ID OMS_POLICY PASSPORT PHONE RESIDENCE_PERMIT SNILS SUBDIVISION_CODE".split()
+_STRATEGIES = [("full", "*", "full"), ("placeholder", "*", "placeholder"), ("synthetic", "*", "synthetic"), ("token", "*", "token"), ("reference", "*", "full"), ("reference", "FIO", "initials"), ("reference", "CARD_HOLDER", "initials"), *(("reference", t, "partial") for t in _SHOWN)]
+
+
+@case("id, type_group, confidence, priority, weak, validator, n_patterns", CATALOGUE)
+def catalog_types(spark, sf):
+    return Engine().types(spark).select("id", "type_group", F.round("confidence", 4).alias("confidence"), F.col("priority").cast("long").alias("priority"), "weak", "validator", F.col("n_patterns").cast("long").alias("n_patterns"))
+
+
+@case("profile, type, strategy", _STRATEGIES)
+def catalog_profiles(spark, sf):
+    return Engine().profiles(spark)
+
+
+@case("id, enabled, demask, profile, anonymous, n_types", [("default", True, True, "reference", True, sum(t[0] not in ("PUBLIC_PERSON", "PUBLIC_ADDRESS") for t in CATALOGUE))])
+def catalog_systems(spark, sf):
+    return Engine().systems(spark).select("id", "enabled", "demask", "profile", "anonymous", F.size("types").cast("long").alias("n_types"))

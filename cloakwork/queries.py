@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.functions import masks, text, validators
-from cloakwork.operators import evaluation, generation, metrics, pattern_spans
+from cloakwork.operators import evaluation, metrics, pattern_spans
 from cloakwork.operators.checks import MONTHS
 from cloakwork.plans.catalog import PROFILES, Config, Strategy, System, Profile
 from cloakwork.plans.engine import Engine
@@ -381,16 +381,22 @@ def quality_built(spark, sf):
     return evaluation.confusion(evaluation.span_outcomes(expected, predicted)).select("type", "tp", "fp", "fn")
 
 
-@query()
+@query(_BUILT + " SELECT k, type, true AS changed, true AS valid FROM b WHERE type IN ('CARD_NUMBER', 'INN', 'PHONE', 'EMAIL', 'BANK_ACCOUNT')")
 def synthetic_built(spark, sf):
+    """Invented values in place of the real ones keep kind and checksum."""
     engine = Engine(Config(secret=SECRET, systems=(System("analytics", anonymous=True, profile="synthetic", demask=False),)))
-    return engine.mask(built(spark, sf).select("k", "text")).select("k", "masked", F.size("entries").alias("n"))
+    done = engine.mask(built(spark, sf).filter("type IN ('CARD_NUMBER', 'INN', 'PHONE', 'EMAIL', 'BANK_ACCOUNT')")).select("k", "type", "value", F.col("entries")[0]["mask"].alias("mask"))
+    kind = F.col("type")
+    valid = F.when(kind == "CARD_NUMBER", validators.luhn(F.col("mask"))).when(kind == "INN", validators.inn(F.col("mask"))).when(kind == "PHONE", validators.phone(F.col("mask"))).when(kind == "EMAIL", F.col("mask").rlike("^[a-z]+[0-9]{3}@example[.]com$")).otherwise(F.length("mask") == F.length("value"))
+    return done.select("k", "type", (F.col("mask") != F.col("value")).alias("changed"), valid.alias("valid"))
 
 
-@query()
+@query(_BUILT + " SELECT k, type, CAST(length(before) AS BIGINT) AS start, CAST(length(before) + length(value) AS BIGINT) AS stop FROM b WHERE type IS NOT NULL")
 def candidates_built(spark, sf):
-    found = Engine().candidates(built(spark, sf).select("k", "text")).select("k", F.explode("candidates").alias("c"))
-    return found.select("k", "c.type", "c.start", F.col("c.end").alias("stop"), "c.confidence", "c.detector", "c.evidence", "c.weak")
+    """Before anything is resolved, the true span of each text is among the candidates."""
+    rows = built(spark, sf).filter("type IS NOT NULL").withColumn("start", F.length("before").cast("long")).withColumn("stop", (F.length("before") + F.length("value")).cast("long"))
+    found = Engine().candidates(rows.select("k", "type", "start", "stop", "text"))
+    return found.filter(F.exists("candidates", lambda c: (c["type"] == F.col("type")) & (c["start"] == F.col("start")) & (c["end"] == F.col("stop")))).select("k", "type", "start", "stop")
 
 
 # Restoring, mappings and the protocol.
@@ -516,20 +522,6 @@ def request_log(spark, sf):
     return log_rows(done).join(ids, "payload_id_hash").select("conv_id", "payload_id_hash", "types", F.col("text_bytes").cast("long").alias("text_bytes"))
 
 
-# The generated corpus.
-
-
-@query()
-def generated_corpus(spark, sf):
-    return generation.generate(spark).select("id", "category", "text", F.size("entities").alias("n_entities"), "masked")
-
-
-@query()
-def quality_generated(spark, sf):
-    _, by_type, _ = evaluation.evaluate(Engine(), generation.generate(spark))
-    return by_type
-
-
 # Request metrics, with events as the log.
 
 
@@ -581,21 +573,3 @@ def _quantile_sql(q: float) -> str:
 def latency_p95(spark, sf):
     log = _log(spark, sf).withColumn("seconds", F.col("value") / 100)
     return metrics.bucket_counts(log, "seconds").select("route", F.round(metrics.bucket_quantile(0.95), 9).alias("p95"))
-
-
-# The catalogue.
-
-
-@query()
-def catalog_types(spark, sf):
-    return Engine().types(spark)
-
-
-@query()
-def catalog_profiles(spark, sf):
-    return Engine().profiles(spark)
-
-
-@query()
-def catalog_systems(spark, sf):
-    return Engine().systems(spark)
