@@ -15,8 +15,15 @@ BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 1024
 BUCKET_BYTES = 8 << 20
 
 
+#: Tables of texts, which take work in proportion to their bytes.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts that lies in fewer files than there are cores is dealt to all of them."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if name in TEXTS and 0 < len(table.inputFiles()) < cores else table
 
 
 def shared_dir(spark: SparkSession) -> str:

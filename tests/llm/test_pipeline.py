@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from cloakwork.llm import quality_rules, secret_scan
 from test_corpus_operators import plain_components
 
@@ -79,3 +80,28 @@ def test_stages_equal_plain_versions(spark):
     again = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id: r.text for r in again} == mixed
     assert len(again) == sum(r.copies for r in {r.doc_id: r for r in again}.values())
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns and empty tables."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = [r.text for r in quality_rules.keep_good(docs).select("text", F.length("text").alias("n")).orderBy(F.desc("n")).limit(3).collect()]
+    long = " ".join(f"word{i} of the {i * 7919 % 10007}" for i in range(120_000))
+    rows = [(1, good[0]), (1, good[0]), (2, good[0]), (3, good[1]), (3, good[2]), (None, good[1]), (None, None), (4, None), (5, ""), (6, " \n"), (7, long), (8, long)]
+    names = ("n_words", "kept", "component_id", "doc", "n", "block", "rate", "copies", "p_good", "n_tokens", "spans", "label")
+    odd = spark.createDataFrame([(i, t, None, "s", len(t or ""), *(["clash"] * len(names))) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for n, table in (("documents", odd), ("labels", spark.createDataFrame([(1, 1, 0), (None, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([(None, "of the"), (1, None), (2, "")], "item_id long, text string"))):
+        table.write.parquet(f"{tmp_path}/{n}.parquet")
+    held = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        held = corpus_pipeline.written(stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet") if name == "quality_rules" else held, str(tmp_path)), f"odd-{name}")
+        ids = sorted((r.doc_id or 0) for r in held.collect())
+        if name == "quality_rules":
+            assert ids == [0, 1, 1, 2, 3, 3, 7, 8] and held.columns == odd.columns
+        if name == "ngram_join":  # 2 copies 1, 8 copies 7; repeated rows of 1 are one, texts of 3 stay, rows without an id stay
+            assert ids == [0, 1, 3, 3, 7]
+    assert set(ids) == {0, 1, 3, 7}
+    empty = tmp_path / "none"
+    for n in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{n}.parquet").limit(0).write.parquet(f"{empty}/{n}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
