@@ -44,18 +44,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, sha256(lower(translate(text, 'Ёё' || chr(160) || chr(8199) || chr(8239) || chr(9) || chr(8208) || chr(8209) || chr(8210) || chr(8211) || chr(8212) || chr(8722), 'ее    ------'))) AS folded_sha256 FROM documents")
 def fold_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2(text.fold(F.col("text")), 256).alias("folded_sha256"))
+    return documents(spark, sf).select("doc_id", F.sha2(text.fold(F.col("text")), 256).alias("folded_sha256"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s\p{Z}]')) AS tokens FROM documents")
 def token_estimate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+    return documents(spark, sf).select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[-''’][\p{L}\p{N}]+)*')) AS n_words, len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[-''’][\p{L}\p{N}]+)*'))) AS n_distinct FROM documents")
 def words_of_text(spark, sf):
     w = text.words(text.fold(F.col("text")))
-    return table(spark, sf, "documents").select("doc_id", F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
+    return documents(spark, sf).select("doc_id", F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
 
 
 @query("SELECT conv_id, turn, 'mk:default:' || sha256(CAST(conv_id AS VARCHAR)) AS key FROM conversations")
