@@ -258,3 +258,18 @@ def test_stream_mappings_end_and_are_sealed(spark, tmp_path):
         assert answer(3, [("a", 3, masked)]) == {"a": ("mask", masked)}
     finally:
         query.stop()
+
+
+def test_commands(spark, tmp_path, capsys):
+    from cloakwork.__main__ import main
+
+    (tmp_path / "t.txt").write_text("чек на a@b.ru")
+    assert main(["mask", str(tmp_path / "t.txt"), str(tmp_path / "out")], spark) == 0
+    row = spark.read.json(str(tmp_path / "out")).first()
+    assert row.masked == "чек на *@*.**" and row.entities[0]["type"] == "EMAIL"
+    assert main(["generate", str(tmp_path / "made"), "--per-category", "3", "--negatives", "2"], spark) == 0
+    assert main(["evaluate", str(tmp_path / "made")], spark) == 0
+    assert "| micro |" in capsys.readouterr().out
+    assert main(["evaluate", str(tmp_path / "made"), "--least-f1", "1.1"], spark) == 1
+    (tmp_path / "bad.yaml").write_text("nonsense: 1")
+    assert main(["--config", str(tmp_path / "bad.yaml"), "generate", str(tmp_path / "x")], spark) == 2
