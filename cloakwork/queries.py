@@ -13,7 +13,7 @@ from cloakwork.operators.checks import MONTHS
 from cloakwork.plans.catalog import PROFILES, Config, Strategy, System, Profile
 from cloakwork.plans.engine import Engine
 from cloakwork.sources.shared import shared_path, spread
-from cloakwork.sources.tables import add_mappings, chat_messages, log_rows, mapping_key, seal, unseal
+from cloakwork.sources.tables import add_mappings, chat_messages, digests, log_rows, mapping_key, seal, unseal
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -314,10 +314,11 @@ def _built_sql(dialect: str) -> str:
     return f"SELECT o_orderkey AS k, {column(0)} AS type, {column(1)} AS before, CASE {' '.join(values)} END AS value, {column(3)} AS after FROM orders"
 
 
-def built(spark: SparkSession, sf: str) -> DataFrame:
+def built(spark: SparkSession, sf: str, dealt: bool = True) -> DataFrame:
     table(spark, sf, "orders").createOrReplaceTempView("__built_orders")
-    # keys are few bytes and the work on their texts is not: spread them beyond the scan's partitions
-    rows = spark.sql(_built_sql("spark").replace("FROM orders", "FROM __built_orders")).repartition(spark.sparkContext.defaultParallelism)
+    rows = spark.sql(_built_sql("spark").replace("FROM orders", "FROM __built_orders"))
+    if dealt:  # keys are few bytes and the work on their texts is not: spread them beyond the scan's partitions
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
     return rows.select("k", "type", "before", "value", "after", F.concat("before", "value", "after").alias("text"))
 
 
@@ -364,11 +365,11 @@ LARGE = 8
 @query(_BUILT + rf""", p AS (SELECT k, before || regexp_replace(value, '[\p{{L}}\p{{N}}]', '*', 'g') || after AS m FROM b WHERE type IS NOT NULL)
 SELECT k % {LARGE} AS part, CAST(count(*) AS BIGINT) AS n_entities, sha256(string_agg(m, '{GAP.replace(chr(10), "' || chr(10) || '")}' ORDER BY k)) AS masked_sha256 FROM p GROUP BY 1""")
 def mask_large_texts(spark, sf):
-    """A few texts with thousands of entities each: at sf0.1 about 2 MB and 15,000 entities."""
-    rows = built(spark, sf).filter("type IS NOT NULL").groupBy((F.col("k") % LARGE).alias("part")).agg(F.sort_array(F.collect_list(F.struct("k", "text"))).alias("t"))
-    texts = rows.select("part", F.array_join("t.text", GAP).alias("text")).repartition(LARGE)
+    """A few texts with thousands of entities each: at sf0.1 about 2 MB and 15,000 entities. They grow with the table, so they come as rows."""
+    rows = built(spark, sf, dealt=False).filter("type IS NOT NULL").select((F.col("k") % LARGE).alias("part"), "k", "text")
     engine = Engine(Config(systems=(System("full", anonymous=True, profile="full"),)))
-    return engine.mask(texts).select("part", F.size("entities").cast("long").alias("n_entities"), F.sha2("masked", 256).alias("masked_sha256"))
+    masked = engine.mask_long(rows, key="part", order="k", between=GAP, tasks=LARGE)
+    return digests(masked.select("part", "masked", F.size("entities").alias("n_entities")), "part", "masked", "n_entities").withColumnRenamed("sha256", "masked_sha256")
 
 
 @query(_BUILT + " SELECT type, count(*) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn FROM b WHERE type IS NOT NULL GROUP BY type UNION ALL SELECT 'micro', count(type), 0, 0 FROM b")

@@ -1,5 +1,6 @@
 """Single texts through detection, resolution, masking and restoring."""
 
+import random
 import re
 
 import pytest
@@ -10,8 +11,9 @@ from cloakwork.operators import checks, dates, generation, masking, restoring
 from cloakwork.operators import morphology as M
 from cloakwork.operators.curated import ALLOW, CLEAN, MASKED
 from cloakwork.operators.folding import Text
-from cloakwork.plans.catalog import PROFILES, Combination, Config, ConfigError, Strategy, System
-from cloakwork.plans.engine import Compiled
+from cloakwork.plans import long_texts
+from cloakwork.plans.catalog import PROFILES, TYPES, Combination, Config, ConfigError, Pattern, Strategy, System, TypeDef
+from cloakwork.plans.engine import Compiled, entity_rows, entry_rows
 from cloakwork.sources.config import config_of, interpolate
 from cloakwork.sources.dictionaries import dictionaries, lines
 
@@ -148,3 +150,35 @@ def test_generated_records():
     one = generation.record(1, "PASSPORT", 3, lists, m)
     assert one == generation.record(1, "PASSPORT", 3, lists, m) != generation.record(2, "PASSPORT", 3, lists, m)
     assert [e["type"] for e in one["entities"]] == ["FIO", "PASSPORT"]
+
+
+#: What a piece of a text can't tell by itself: names and types elsewhere, the words beside it, numbers of placeholders.
+ACROSS = ["Клиент Орлов Денис Сергеевич", "Орлов пришел", "Марта", "12 апреля", "17.10.2008", "Поэт Александр Пушкин", "пин-код 1150", "карта 4000 0566 5566 5556", "г. Самара, ул. Луговая, д. 2", "+7 913 640-27-58", "orlova@box.ru", "выдан ОВД г. Самары", "~~~", "0912", ""]
+
+
+@pytest.mark.parametrize("system", ["default", "full", "placeholder", "synthetic", "parts"])
+def test_a_long_text_in_pieces_is_masked_as_the_whole(engine, system):
+    r = random.Random(3)
+    assert engine.reach(system)
+    for _ in range(40):
+        rows = [f"\n{'~ ' * 40}\n" * (i > 0) + r.choice(ACROSS) for i in range(r.randrange(1, 30))]
+        masked, entries, entities = engine.mask("".join(rows), system)
+        got = list(long_texts.whole_columns(long_texts.masked_pieces(engine, system, rows, r.choice([1, 60, 400]))))
+        assert "".join(g[0] for g in got) == masked
+        assert [x for g in got for x in zip(*g[1], strict=True)] == [tuple(e.values()) for e in entry_rows(entries)]
+        assert [x for g in got for x in zip(*g[2], strict=True)] == [tuple(e.values()) for e in entity_rows("".join(rows), entities)]
+
+
+def test_pieces_end_where_nothing_reaches_over():
+    wall = "\n" + "~ " * 40 + "\n"
+    assert list(long_texts.pieces(["a", wall + "b", wall[:50], wall[50:] + "c"], 81, 1)) == ["a" + wall, "b" + wall, "c"]
+    for weak in (wall[:79], " " * 90 + "\n", wall.replace("\n", " "), wall[:40] + "x" + wall[40:], "\n" + "." * 90):
+        assert list(long_texts.pieces(["a" + weak + "b", "c"], 81, 1)) == ["a" + weak + "bc"]
+    assert list(long_texts.pieces(["a" + wall + "b"], None, 1)) == ["a" + wall + "b"]
+    assert max(map(len, long_texts.pieces(("слово" + wall for _ in range(5000)), 81, 1000))) < 3000
+
+
+def test_texts_without_a_bound_on_what_reaches_over_stay_whole():
+    own = Config(types=(*TYPES, TypeDef("BADGE", (Pattern(r"badge\W+\d+"),))))
+    rule = Config(systems=(System("default", anonymous=True, combination_rules=(Combination("PIN", ("CARD_NUMBER",)),)),))
+    assert Compiled(own).reach("default") is None and Compiled(rule).reach("default") is None

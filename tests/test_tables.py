@@ -1,5 +1,6 @@
 """Sources, stores, evaluation and the engine's table operators, with odd input."""
 
+import hashlib
 import json
 
 import pytest
@@ -10,11 +11,13 @@ from cloakwork.operators import evaluation, generation, metrics, pattern_spans
 from cloakwork.operators.detectors import Candidate
 from cloakwork.operators.folding import Text
 from cloakwork.operators.masking import full, initials, partial
+from cloakwork.plans import long_texts
 from cloakwork.plans.catalog import PROFILES, Config, System
-from cloakwork.plans.engine import Engine
+from cloakwork.plans.engine import Engine, compiled
 from cloakwork.sources import tables
 from cloakwork.sources.config import read_config
 from cloakwork.sources.dictionaries import dictionaries, read_word_list
+from cloakwork.sources.tables import digests
 
 TEXTS = ["Клиент Иванов Иван Иванович, паспорт 4509 123456", "почта a.b@mail.ru и +7 925 123-45-67", "4111 1111 1111 1111", "", None, "İ x@y.ru ё– 1"]
 
@@ -273,3 +276,20 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["evaluate", str(tmp_path / "made"), "--least-f1", "1.1"], spark) == 1
     (tmp_path / "bad.yaml").write_text("nonsense: 1")
     assert main(["--config", str(tmp_path / "bad.yaml"), "generate", str(tmp_path / "x")], spark) == 2
+
+
+def test_texts_that_come_as_rows(spark):
+    """Texts that grow with the table are held in pieces, and come back in order with the whole's digest and offsets."""
+    engine, gap = Engine(), "\n" + "~ " * 40 + "\n"
+    texts = {k: [None if i % 50 == 7 else f"Почта user{i}@mail.ru, клиент Орлов Денис" for i in range(n)] for k, n in ((0, 3000), (1, 1), (5, 40), (None, 3))}
+    rows = spark.createDataFrame([(k, i, t) for k, v in texts.items() for i, t in enumerate(v)], "key long, order long, text string").repartition(7)
+    for tasks in (None, 4):
+        pieces = engine.mask_long(rows, between=gap, tasks=tasks)
+        size = pieces.agg(F.max(F.length("masked"))).first()[0]
+        assert size < 3 * long_texts.PIECE and pieces.filter("key = 0").count() > 3
+        whole = compiled(engine.blob)
+        for x in digests(pieces.select("key", "masked", F.size("entities").alias("n")), "key", "masked", "n").collect():
+            masked, entries, _ = whole.mask(gap.join(t or "" for t in texts[x.key]), "default")
+            assert (x.n, x.sha256) == (len(entries), hashlib.sha256(masked.encode()).hexdigest())
+        last = max(r.start for r in pieces.filter("key = 0").select(F.explode("entities").alias("e")).select("e.start").collect())
+        assert last == max(e.start for e in whole.detect(gap.join(t or "" for t in texts[0]), "default"))
