@@ -12,6 +12,8 @@ import pyarrow as pa
 
 _U = np.uint64
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
 MESSAGE = "bucket int, block int, a binary, b binary"
 SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
@@ -29,6 +31,15 @@ def unplane(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
+def squeezed(blob: bytes) -> bytes:
+    """Planes with their bytes coded by how often they occur, which the shuffle's own compression doesn't do."""
+    return len(blob).to_bytes(8, "little") + _ZSTD.compress(blob, asbytes=True)
+
+
+def opened(blob: bytes) -> bytes:
+    return _ZSTD.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
 def deltas(sorted_: np.ndarray) -> bytes:
     """Sorted numbers as planes of their differences."""
     return planes(np.diff(sorted_, prepend=_U(0)))

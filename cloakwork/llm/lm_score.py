@@ -46,6 +46,8 @@ ALPHA = 0.1
 ORDER = 5
 #: Grams of a bucket whose probabilities are worked out at once.
 GRAM_SLICE = 50_000
+#: Of layout()'s blocks, so many make one here: the fewer the blocks, the fewer times a gram is sent and answered.
+BLOCKS_IN_ONE = 2
 #: Bytes of text handled at once: a byte takes some eight numbers.
 GRAM_CHUNK = 1 << 19
 #: Stands for the end of a text among word hashes.
@@ -278,10 +280,10 @@ def _learn(buckets: int, order: int):
                 sent.append((keys, np.bincount(place, weights=np.repeat(learns, np.diff(off)), minlength=len(keys))))
         words, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         counts = np.bincount(inverse, weights=np.concatenate(train), minlength=len(words)).astype(np.uint64)
-        out = [(k, block, X.deltas(words[a:b]), X.planes(counts[a:b])) for k, a, b in X.ranges(words, 64, buckets)]
+        out = [(k, block, X.squeezed(X.deltas(words[a:b])), X.squeezed(X.planes(counts[a:b]))) for k, a, b in X.ranges(words, 64, buckets)]
         if sent:
             keys, total, _ = _merged(sent)
-            out += [(buckets + k, block, X.deltas(x), X.planes(c)) for k, x, c in R.by_bucket(gram_bucket(keys, order, buckets), keys, total)]
+            out += [(buckets + k, block, X.squeezed(X.deltas(x)), X.squeezed(X.planes(c))) for k, x, c in R.by_bucket(gram_bucket(keys, order, buckets), keys, total)]
         return X.messages(out)
 
     return run
@@ -291,8 +293,10 @@ def _count(buckets: int, order: int, model):
     def run(table: pa.Table) -> pa.Table:
         """A bucket's corpus counts, or its grams' log10 probabilities, back to each block; totals of words as block -1."""
         bucket = table.column("bucket")[0].as_py()
-        sizes = [len(x.as_py()) // 8 for x in table.column("a")]
-        distinct, total, inverse = _merged([(X.sums(a.as_py()), X.unplane(b.as_py())) for a, b in zip(table.column("a"), table.column("b"), strict=True)])
+        sent = [(X.sums(X.opened(a.as_py())), X.unplane(X.opened(b.as_py()))) for a, b in zip(table.column("a"), table.column("b"), strict=True)]
+        sizes = [len(names) for names, _ in sent]
+        distinct, total, inverse = _merged(sent)
+        del sent
         out, at = [], 0
         if bucket < buckets:
             out.append((bucket, -1, R.pack(np.array([(total > 0).sum(), total.sum()], np.uint64)), b""))
@@ -301,7 +305,7 @@ def _count(buckets: int, order: int, model):
             back = gram_log10(distinct, total, order, _loaded(model))[inverse]
         for block, size in zip(table.column("block").to_pylist(), sizes, strict=True):
             mine = back[at : at + size]
-            out.append((bucket, block, X.planes(mine) if bucket < buckets else np.ascontiguousarray(mine.view(np.uint8).reshape(-1, 4).T).tobytes(), b""))
+            out.append((bucket, block, X.squeezed(X.planes(mine) if bucket < buckets else np.ascontiguousarray(mine.view(np.uint8).reshape(-1, 4).T).tobytes()), b""))
             at += size
         return X.messages(out)
 
@@ -321,7 +325,7 @@ def _score(model, buckets: int, order: int):
         words, inverse = np.unique(np.concatenate([h for _, h, _ in parts]), return_inverse=True)
         corpus = np.zeros(len(words), np.uint64)
         for bucket, a, b in X.ranges(words, 64, buckets):
-            corpus[a:b] = X.unplane(got[bucket])
+            corpus[a:b] = X.unplane(X.opened(got[bucket]))
         counts = corpus[inverse].astype(np.float64)
         if order > 2:
             named = []
@@ -331,7 +335,7 @@ def _score(model, buckets: int, order: int):
             keys = np.unique(np.concatenate([k for k, _ in named]))
             log10 = np.zeros(len(keys))
             for bucket, places in R.by_bucket(gram_bucket(keys, order, buckets), np.arange(len(keys))):
-                log10[places] = np.ascontiguousarray(np.frombuffer(got[buckets + bucket], np.uint8).reshape(4, -1).T).view(np.float32).ravel()
+                log10[places] = np.ascontiguousarray(np.frombuffer(X.opened(got[buckets + bucket]), np.uint8).reshape(4, -1).T).view(np.float32).ravel()
         out, at = [], 0
         for k, (part, h, n) in enumerate(parts):
             mine = counts[at : at + len(h)]
@@ -358,6 +362,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", order: int = 2)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc is not null")
     blocks, buckets = layout(docs)
+    blocks = -(-blocks // BLOCKS_IN_ONE)
     seen = docs.mapInArrow(_trigram_parts, "trigram bigint, times bigint").groupBy("trigram").agg(F.sum("times").alias("times")).orderBy("trigram").toArrow()  # at most 2**24 rows
     low = pickle.dumps((seen.column("trigram").to_numpy(), seen.column("times").to_numpy().astype(np.float64)))
     model = spark.sparkContext.broadcast((uuid.uuid4().hex, low))

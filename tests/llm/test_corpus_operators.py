@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cloakwork.llm import chat_format, html_extract, lm_score, mixing, ngram_join, ragged, substring_dedup
+from cloakwork.llm import chat_format, exchange, html_extract, lm_score, mixing, ngram_join, ragged, substring_dedup
 from cloakwork.llm.queries import HOSTILE
 
 r = random.Random(11)
@@ -201,6 +202,24 @@ def test_longer_contexts_equal_the_plain_model(spark, monkeypatch, per_block):
     assert lm_score.score_documents(d.limit(0), order=lm_score.ORDER).count() == 0
 
 
+def test_messages_of_grams_are_small(spark, monkeypatch):
+    """What a block sends takes less disk than its planes do under the shuffle's LZ4, and a block holds two of the layout's."""
+    mine = random.Random(4)
+    letters = "eeeeetttaaoinshrdlucmfwypvbgk"
+    text = " ".join("".join(mine.choice(letters) for _ in range(mine.randrange(2, 9))) for _ in range(60_000))
+    table = pa.table({"doc": pa.array([1], pa.int64()), "text": [text], "block": pa.array([0], pa.int32())})
+    sent = lm_score._learn(4, lm_score.ORDER)(table)
+    keys, counts = np.unique(lm_score.grams(*ragged.buffers(table.column("text")), lm_score.ORDER), return_counts=True)
+    plain = sum(len(pa.compress(x, "lz4", asbytes=True)) for k, a, c in ragged.by_bucket(lm_score.gram_bucket(keys, lm_score.ORDER, 4), keys, counts.astype(np.uint64)) for x in (exchange.deltas(a), exchange.planes(c)))
+    grams = [(a, b) for k, a, b in zip(*(sent.column(c).to_pylist() for c in ("bucket", "a", "b")), strict=True) if k >= 4]
+    assert sum(len(a) + len(b) for a, b in grams) < 0.85 * plain
+    assert sorted(x for a, _ in grams for x in exchange.sums(exchange.opened(a)).tolist()) == keys.tolist()
+    asked = []
+    monkeypatch.setattr(lm_score, "layout", lambda d: (16, 4))
+    monkeypatch.setattr(lm_score, "block_of", lambda blocks, *c: asked.append(blocks) or F.pmod(F.xxhash64(*c), F.lit(blocks)).cast("int"))
+    assert lm_score.score_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"), order=lm_score.ORDER).count() == 1 and asked == [8]
+
+
 def test_byte_probabilities_sum_to_one():
     trie = lm_score.ByteTrie(2)
     trie.score(b"abracadabra abracadabra", learn=True)
